@@ -221,10 +221,11 @@ def near_duplicates(vectors: DataFrame, threshold: float = 0.9, scale: float = S
                 part = pd.concat([*held, b.iloc[s : s + 4000]], ignore_index=True)
                 last = part.grp.iloc[-1]
                 done, held = part[part.grp != last].reset_index(drop=True), [part[part.grp == last]]
-                if len(done):
-                    yield _verify(done, threshold, cells_of)
-        if held:
-            yield _verify(pd.concat(held, ignore_index=True), threshold, cells_of)
+                for _, g in done.groupby(done.e.map(len)):
+                    yield _verify(g.reset_index(drop=True), threshold, cells_of)
+        for part in held:
+            if len(part):
+                yield _verify(part.reset_index(drop=True), threshold, cells_of)
 
     found = materialise(members.mapInPandas(verify, "id long, n long, root long"), "lattice-links")
     roots = connected_components(found.select("id", "root"), "id", "root")

@@ -66,11 +66,6 @@ def entropy_spans(run: str, cls: CharacterClass) -> list[tuple[int, int]]:
     total, spans = 0.0, []
     limit = (math.log2(w) - cls.bits) * w + 1e-9  # entropy = log2(w) - total / w
     for i, ch in enumerate(run):
-        c = counts.get(ch, 0)
-        total += table[c + 1] - table[c]
-        counts[ch] = c + 1
-        for k, chars in enumerate(cls.needs):
-            mixed[k] += ch in chars
         if i >= w:
             old = run[i - w]
             c = counts[old]
@@ -78,6 +73,11 @@ def entropy_spans(run: str, cls: CharacterClass) -> list[tuple[int, int]]:
             counts[old] = c - 1
             for k, chars in enumerate(cls.needs):
                 mixed[k] -= old in chars
+        c = counts.get(ch, 0)
+        total += table[c + 1] - table[c]
+        counts[ch] = c + 1
+        for k, chars in enumerate(cls.needs):
+            mixed[k] += ch in chars
         if i >= w - 1 and total <= limit and all(mixed):
             s, e = i - w + 1, i + 1
             if spans and s <= spans[-1][1]:
