@@ -1,0 +1 @@
+"""Time-series analytics as Spark jobs."""
