@@ -262,7 +262,7 @@ def identify(docs: DataFrame) -> DataFrame:
     return predict(docs, fit(training_rows(docs)))
 
 
-def accept(docs: DataFrame, least: float = 0.5) -> DataFrame:
+def accept(docs: DataFrame, least: float = 0.3) -> DataFrame:
     """docs without those that are und or in which no language has the share ``least`` of the words; columns as they are.
 
     A document with a null doc_id is judged like any other.
