@@ -12,6 +12,7 @@ from __future__ import annotations
 
 import functools
 import re
+import struct
 import zlib
 from collections.abc import Iterator
 
@@ -34,32 +35,44 @@ LATIN = re.compile(rf"'s|'t|'re|'ve|'m|'ll|'d| ?[{_LETTER}]+| ?[{_NUMBER}]+| ?[^
 BEYOND = re.compile(r"[^\x00-\x1b\x20-\u017f]")
 
 
-class Encoder:
-    """Token ids of texts as little-endian 32-bit bytes. BPE never merges over a pre-token, so each distinct one is encoded once."""
+def byte_alphabet() -> dict[int, str]:
+    """Byte-level BPE's letter for each byte: printable Latin-1 stands for itself, the rest follows from 256 on in order."""
+    kept = {*range(33, 127), *range(161, 173), *range(174, 256)}
+    rest = iter(range(256, 512))
+    return {b: chr(b if b in kept else next(rest)) for b in range(256)}
+
 
-    MOST = 300_000
+class Known(dict):
+    """Ids of pre-tokens as little-endian 32-bit bytes; BPE never merges over a pre-token, so each is worked out once."""
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
-        self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
+        self.tokenizer = Tokenizer.from_file(path)  # the model refers to it
+        self.tokenize = self.tokenizer.model.tokenize
+        self.letters = byte_alphabet()
+
+    def __missing__(self, piece: str) -> bytes:
+        letters = piece.encode("utf-8").decode("latin-1").translate(self.letters)
+        ids = [t.id for t in self.tokenize(letters)]
+        out = self[piece] = struct.pack(f"<{len(ids)}I", *ids)
+        return out
+
+
+class Encoder:
+    """Token ids of whole texts, special tokens' strings being ordinary text."""
+
+    MOST = 600_000
+
+    def __init__(self, path: str):
         self.split = regex.compile(SPLIT)
-        self.known: dict[str, bytes] = {}
+        self.known = Known(path)
 
     def encode(self, text: str) -> bytes:
         pieces = self.split.findall(text) if BEYOND.search(text) else LATIN.findall(text)
-        known = self.known
-        try:
-            return b"".join([known[p] for p in pieces])
-        except KeyError:
-            new = list({p for p in pieces if p not in known})
-            for p, e in zip(new, self.tokenizer.encode_batch_fast(new, add_special_tokens=False), strict=True):
-                known[p] = np.array(e.ids, dtype="<u4").tobytes()
-            out = b"".join([known[p] for p in pieces])
-            if len(known) > self.MOST:
-                known.clear()
-            return out
+        if len(self.known) > self.MOST:
+            self.known.clear()
+        return b"".join(map(self.known.__getitem__, pieces))
 
 
 @functools.lru_cache(maxsize=2)
