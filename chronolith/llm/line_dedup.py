@@ -12,7 +12,6 @@ so that a bucket of any size is spread over tasks and no link inside a bucket is
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -26,12 +25,10 @@ from .components import connected_components
 
 SHINGLE, ROWS, BANDS, THRESHOLD = 7, 3, 7, 0.8  # a pair at 0.8 shares a band with probability 0.993, at 0.85 with 0.999
 BLOCK = 256
-WHITE = re.compile(r"\s+")
-_UP = str.maketrans({c: chr(c + 32) for c in range(65, 91)})
 
 
 def normal(line: str) -> str:
-    return WHITE.sub(" ", line.translate(_UP)).strip()
+    return " ".join(line.split()).encode("utf-8", "surrogatepass").lower().decode("utf-8", "surrogatepass")
 
 
 def shingles(line: str, k: int) -> set[str]:
