@@ -8,6 +8,10 @@ Texts are shuffled once, to fetch the lines of candidate pairs; everything befor
 text is read. Buckets are worked off in two passes. First each line is compared with its bucket's smallest. Buckets of
 three or more that still hold several components are then compared in full, in blocks of ``BLOCK`` lines against blocks,
 so that a bucket of any size is spread over tasks and no link inside a bucket is lost.
+
+A line also has a sketch: a bit for each value that its shingles' hashes take among ``SKETCH``. Two sketches never differ
+in more bits than the shingle sets do in members, so a pair whose sketches differ too much is below the threshold for
+certain and is not compared in full. Very long lines fill their sketches and are always compared.
 """
 
 from __future__ import annotations
@@ -25,10 +29,14 @@ from .components import connected_components
 
 SHINGLE, ROWS, BANDS, THRESHOLD = 7, 3, 7, 0.8  # a pair at 0.8 shares a band with probability 0.993, at 0.85 with 0.999
 BLOCK = 256
+SKETCH = 256  # bits
+WORDS = [f"s{i}" for i in range(SKETCH // 64)]  # a sketch's columns
 
 
 def normal(line: str) -> str:
-    return " ".join(line.split()).encode("utf-8", "surrogatepass").lower().decode("utf-8", "surrogatepass")
+    # The only printable white space is the plain one.
+    line = line.strip(" ") if line.isprintable() and "  " not in line else " ".join(line.split())
+    return line.lower() if line.isascii() else line.encode("utf-8", "surrogatepass").lower().decode("utf-8", "surrogatepass")
 
 
 def shingles(line: str, k: int) -> set[str]:
@@ -36,16 +44,63 @@ def shingles(line: str, k: int) -> set[str]:
 
 
 def jaccard(a: str, b: str, k: int, threshold: float) -> bool:
-    """Whether the shingle sets' Jaccard similarity reaches the threshold; sizes settle most pairs before."""
-    x, y = shingles(a, k), shingles(b, k)
+    """Whether the lines' shingle sets are alike."""
+    return alike(shingles(a, k), shingles(b, k), threshold)
+
+
+def alike(x: set[str], y: set[str], threshold: float) -> bool:
+    """Whether the sets' Jaccard similarity reaches the threshold; sizes settle some pairs before."""
     if min(len(x), len(y)) < threshold * max(len(x), len(y)):
         return False
     both = len(x & y)
     return both >= threshold * (len(x) + len(y) - both) - 1e-12
 
 
+def codes(lines: list[str], k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Hashes of all lines' shingles (code points), each line's first one, and the lines' numbers of shingles."""
+    lines = [x.ljust(k, "\0") for x in lines]
+    buf = np.frombuffer("".join(lines).encode("utf-32-le", "surrogatepass"), dtype=np.uint32)
+    n = np.fromiter(map(len, lines), dtype=np.int64, count=len(lines))
+    h = np.zeros(len(buf) - k + 1, dtype=np.uint32)
+    for j in range(k):
+        h = h * np.uint32(0x01000193) + buf[j : len(buf) - k + 1 + j]
+    h ^= h >> np.uint32(15)
+    h *= np.uint32(0x2C1B3C6D)
+    h ^= h >> np.uint32(12)
+    inside = np.ones(len(h), dtype=bool)
+    ends = np.cumsum(n)
+    for j in range(1, k):  # shingles that cross into the next line
+        cross = ends - j
+        inside[cross[cross < len(h)]] = False
+    count = n - k + 1
+    return h[inside], np.cumsum(count) - count, count
+
+
+def slices(lines: list[str], size: int = 65_536) -> Iterator[tuple[int, int]]:
+    """Ranges of lines that hold about ``size`` characters, few enough to stay in the processor's cache."""
+    at = 0
+    while at < len(lines):
+        to, held = at, 0
+        while to < len(lines) and held < size:
+            held += len(lines[to])
+            to += 1
+        yield at, to
+        at = to
+
+
+def sketches(lines: list[str], k: int = SHINGLE) -> tuple[np.ndarray, np.ndarray]:
+    """(lines, SKETCH / 64) words of the lines' sketches, and the lines' numbers of shingles, repeats included."""
+    out, sizes = np.empty((len(lines), SKETCH // 64), dtype=np.int64), np.empty(len(lines), dtype=np.int64)
+    for at, to in slices(lines):
+        h, _, sizes[at:to] = codes(lines[at:to], k)
+        bits = np.zeros((to - at, SKETCH), dtype=bool)
+        bits[np.repeat(np.arange(to - at), sizes[at:to]), h % SKETCH] = True
+        out[at:to] = np.packbits(bits, axis=1).view(np.int64)
+    return out, sizes
+
+
 class MinHasher:
-    """Band keys of lines: ``bands`` 64-bit values a line, each from ``rows`` minima of seeded hashes over byte shingles."""
+    """Band keys of lines: ``bands`` 64-bit values a line, each from ``rows`` minima of seeded hashes over shingles."""
 
     def __init__(self, k: int = SHINGLE, rows: int = ROWS, bands: int = BANDS, seed: int = 7):
         rng = np.random.default_rng(seed)
@@ -53,35 +108,14 @@ class MinHasher:
         self.mul = rng.integers(0, 2**32, rows * bands, dtype=np.uint32) | np.uint32(1)
         self.add = rng.integers(0, 2**32, rows * bands, dtype=np.uint32)
 
-    def keys(self, lines: list[bytes]) -> np.ndarray:
+    def keys(self, lines: list[str]) -> np.ndarray:
         out = np.empty((len(lines), self.bands), dtype=np.int64)
-        at = 0
-        while at < len(lines):  # about 64 kB at once stays in the processor's cache
-            to, size = at, 0
-            while to < len(lines) and size < 65_536:
-                size += max(len(lines[to]), self.k)
-                to += 1
-            out[at:to] = self._some([x.ljust(self.k, b"\0") for x in lines[at:to]])
-            at = to
+        for at, to in slices(lines):
+            out[at:to] = self._some(lines[at:to])
         return out
 
-    def _some(self, lines: list[bytes]) -> np.ndarray:
-        k = self.k
-        buf = np.frombuffer(b"".join(lines), dtype=np.uint8).astype(np.uint32)
-        n = np.fromiter(map(len, lines), dtype=np.int64, count=len(lines))
-        h = np.zeros(len(buf) - k + 1, dtype=np.uint32)
-        for j in range(k):
-            h = h * np.uint32(0x01000193) + buf[j : len(buf) - k + 1 + j]
-        h ^= h >> np.uint32(15)
-        h *= np.uint32(0x2C1B3C6D)
-        h ^= h >> np.uint32(12)
-        inside = np.ones(len(h), dtype=bool)
-        ends = np.cumsum(n)
-        for j in range(1, k):  # shingles that cross into the next line
-            cross = ends - j
-            inside[cross[cross < len(h)]] = False
-        h, count = h[inside], n - k + 1
-        starts = np.concatenate(([0], np.cumsum(count)[:-1]))
+    def _some(self, lines: list[str]) -> np.ndarray:
+        h, starts, _ = codes(lines, self.k)
         out = np.empty((len(lines), self.bands), dtype=np.uint64)
         for b in range(self.bands):
             key = np.full(len(lines), b + 1, dtype=np.uint64)
@@ -93,44 +127,47 @@ class MinHasher:
 
 
 def _occurrences(docs: DataFrame) -> DataFrame:
-    """(doc_id, pos, h1, h2, k0, k1, ...): each line that is not blank, by number in its document, with hash and band keys."""
+    """(doc_id, pos, h1, h2, k0, k1, ...): lines that are not blank, by number in their document, with hash and band keys.
+
+    Of equal lines read together only the first by (doc_id, pos) is returned; null doc_ids come first.
+    """
     names = [f"k{i}" for i in range(BANDS)]
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         hasher = MinHasher()
 
-        def out(ids: list, pos: list, lines: list[bytes]) -> pd.DataFrame:
-            distinct = list(dict.fromkeys(lines))
-            number = {x: i for i, x in enumerate(distinct)}
-            which = np.fromiter((number[x] for x in lines), dtype=np.int64, count=len(lines))
-            digest = np.frombuffer(b"".join(xxhash.xxh3_128_digest(x) for x in distinct), dtype=np.int64).reshape(-1, 2)[which]
-            frame = pd.DataFrame(hasher.keys(distinct)[which], columns=names)
+        def out(first: dict[str, tuple]) -> pd.DataFrame:
+            lines = list(first)
+            digest = np.frombuffer(b"".join(xxhash.xxh3_128_digest(x.encode("utf-8", "surrogatepass")) for x in lines), dtype=np.int64).reshape(-1, 2)
+            frame = pd.DataFrame(hasher.keys(lines), columns=names)
             frame.insert(0, "h2", digest[:, 1])
             frame.insert(0, "h1", digest[:, 0])
-            frame.insert(0, "pos", np.array(pos, dtype=np.int64))
-            frame.insert(0, "doc_id", pd.array(ids, dtype="Int64"))
+            frame.insert(0, "pos", np.array([at[2] for at in first.values()], dtype=np.int64))
+            frame.insert(0, "doc_id", pd.array([at[1] if at[0] else None for at in first.values()], dtype="Int64"))
             return frame
 
+        first: dict[str, tuple] = {}
+        size = 0
         for b in batches:
-            ids, pos, lines, size = [], [], [], 0
             for doc, text in zip(b.doc_id.astype("Int64"), b.text, strict=True):
+                named = doc is not pd.NA
                 for i, line in enumerate(text.split("\n") if text else ()):
                     if x := normal(line):
-                        ids.append(doc)
-                        pos.append(i)
-                        lines.append(x.encode("utf-8", "surrogatepass"))
+                        at = (named, doc if named else 0, i)
+                        if at < first.setdefault(x, at):
+                            first[x] = at
                 size += len(text or "")
-                if size > 8_000_000 and lines:
-                    yield out(ids, pos, lines)
-                    ids, pos, lines, size = [], [], [], 0
-            if lines:
-                yield out(ids, pos, lines)
+                if size > 8_000_000 and first:
+                    yield out(first)
+                    first, size = {}, 0
+        if first:
+            yield out(first)
 
     return docs.select("doc_id", "text").mapInPandas(run, "doc_id long, pos long, h1 long, h2 long, " + ", ".join(f"{n} long" for n in names))
 
 
 def _texts(docs: DataFrame, wanted: DataFrame) -> DataFrame:
-    """(id, line): the normal form of each wanted (id, doc_id, pos)."""
+    """(id, line, size, s0, s1, ...): the normal form of each wanted (id, doc_id, pos), its number of shingles and its sketch."""
     per_doc = wanted.groupBy("doc_id").agg(F.collect_list(F.struct("pos", "id")).alias("at"))
     joined = docs.select("doc_id", "text").join(per_doc, docs.doc_id.eqNullSafe(per_doc.doc_id)).select("text", F.col("at.pos").alias("pos"), F.col("at.id").alias("id"))
 
@@ -143,9 +180,10 @@ def _texts(docs: DataFrame, wanted: DataFrame) -> DataFrame:
                     if p < len(parts):
                         ids.append(i)
                         lines.append(normal(parts[p]))
-            yield pd.DataFrame({"id": np.array(ids, dtype=np.int64), "line": lines})
+            sketch, size = sketches(lines)
+            yield pd.DataFrame({"id": np.array(ids, dtype=np.int64), "line": lines, "size": size} | {c: sketch[:, i] for i, c in enumerate(WORDS)})
 
-    return joined.mapInPandas(run, "id long, line string")
+    return joined.mapInPandas(run, "id long, line string, size long, " + ", ".join(f"{c} long" for c in WORDS))
 
 
 def _linked(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -159,24 +197,27 @@ def _linked_in_blocks(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]
     """Links between components inside each block pair; rows (grp, id, label, line) come sorted by grp."""
 
     def links(part: pd.DataFrame) -> list[tuple]:
-        out, root = [], {}
+        out, root, known = [], {}, {}
 
         def find(x):
             while root.setdefault(x, x) != x:
                 x = root[x]
             return x
 
-        rows = [(i, lab, shingles(s, SHINGLE)) for i, lab, s in zip(part.id, part.label, part.line, strict=True)]
-        rows.sort(key=lambda r: len(r[2]))
-        for n, (_, la, x) in enumerate(rows):
-            for _, lb, y in rows[n + 1 :]:
-                if THRESHOLD * len(y) > len(x):
-                    break
-                if (ra := find(la)) != (rb := find(lb)):
-                    both = len(x & y)
-                    if both >= THRESHOLD * (len(x) + len(y) - both) - 1e-12:
-                        root[max(ra, rb)] = min(ra, rb)
-                        out.append((la, lb))
+        def set_of(i: int) -> set[str]:
+            if i not in known:
+                known[i] = shingles(lines[i], SHINGLE)
+            return known[i]
+
+        lines, label, size = part.line.tolist(), part.label.to_numpy(np.int64), part["size"].to_numpy()
+        sketch = part[WORDS].to_numpy(np.int64)
+        for i in range(len(part) - 1):
+            differ = np.bitwise_count(sketch[i + 1 :] ^ sketch[i]).sum(axis=1, dtype=np.int64)
+            near = (differ * (1 + THRESHOLD) <= (1 - THRESHOLD) * (size[i + 1 :] + size[i]) + 1e-9) & (label[i + 1 :] != label[i])
+            for j in (np.flatnonzero(near) + i + 1).tolist():
+                if (a := find(int(label[i]))) != (b := find(int(label[j]))) and alike(set_of(i), set_of(j), THRESHOLD):
+                    root[max(a, b)] = min(a, b)
+                    out.append((int(label[i]), int(label[j])))
         return out
 
     held: list[pd.DataFrame] = []
@@ -202,6 +243,10 @@ def keepers(docs: DataFrame) -> DataFrame:
     texts = materialise(_texts(docs, wanted).dropDuplicates(["id"]), "lines-texts")
     # First pass: to the bucket's smallest.
     pairs = members.where("id <> pivot").select(F.col("pivot").alias("a"), F.col("id").alias("b")).distinct()
+    x, y = (texts.select(F.col("id").alias(c), F.col("size").alias(f"{c}_size"), *[F.col(w).alias(f"{c}_{w}") for w in WORDS]) for c in "ab")
+    differ = sum((F.bit_count(F.col(f"a_{w}").bitwiseXOR(F.col(f"b_{w}"))) for w in WORDS), F.lit(0))
+    near = differ * (1 + THRESHOLD) <= (F.col("a_size") + F.col("b_size")) * (1 - THRESHOLD) + 1e-9
+    pairs = pairs.join(x, "a").join(y, "b").where(near).select("a", "b")
     x, y = texts.select(F.col("id").alias("a"), F.col("line").alias("x")), texts.select(F.col("id").alias("b"), F.col("line").alias("y"))
     first = materialise(connected_components(pairs.join(x, "a").join(y, "b").select("a", "b", "x", "y").mapInPandas(_linked, "a long, b long"), "a", "b"), "lines-first")
     # Second pass: buckets of three or more with several components, in blocks.
@@ -212,7 +257,7 @@ def keepers(docs: DataFrame) -> DataFrame:
     blocks = named.join(mixed, "key").withColumn("own", F.pmod(F.xxhash64("id"), cuts).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), cuts - 1)))
     blocks = blocks.select("id", "label", F.xxhash64("key", F.least("own", "other"), F.greatest("own", "other")).alias("grp")).join(texts, "id")
     blocks = blocks.repartition("grp").sortWithinPartitions("grp")
-    second = connected_components(blocks.select("grp", "id", "label", "line").mapInPandas(_linked_in_blocks, "a long, b long"), "a", "b")
+    second = connected_components(blocks.select("grp", "id", "label", "line", "size", *WORDS).mapInPandas(_linked_in_blocks, "a long, b long"), "a", "b")
     second = second.select(F.col("id").alias("label"), F.col("component").alias("joined"))
     roots = nodes.select("id", "at").join(first, "id", "left").select("at", "id", label)
     linked = roots.join(second, "label", "left").select("at", F.coalesce("joined", "label").alias("root"))
