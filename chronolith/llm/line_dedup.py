@@ -43,19 +43,57 @@ def shingles(line: str, k: int) -> set[str]:
     return {line[i : i + k] for i in range(max(1, len(line) - k + 1))}
 
 
-def jaccard(a: str, b: str, k: int, threshold: float) -> bool:
-    """Whether the lines' shingle sets are alike."""
-    return alike(shingles(a, k), shingles(b, k), threshold)
+def members_of(line: str, k: int) -> np.ndarray | set[str]:
+    """The line's shingles: for long lines of code points under 512 a sorted array of the shingles packed into 63 bits, else a set."""
+    if len(line) < 200 or k > 7 or ord(max(line)) >= 512:
+        return shingles(line, k)
+    buf = np.frombuffer(line.encode("utf-32-le"), dtype=np.uint32).astype(np.int64)
+    packed = np.zeros(len(buf) - k + 1, dtype=np.int64)
+    for j in range(k):
+        packed = packed << 9 | buf[j : len(buf) - k + 1 + j]
+    return np.unique(packed)
 
 
-def alike(x: set[str], y: set[str], threshold: float) -> bool:
-    """Whether the sets' Jaccard similarity reaches the threshold; sizes settle some pairs before."""
+def alike(x: np.ndarray | set[str], y: np.ndarray | set[str], threshold: float) -> bool:
+    """Whether the Jaccard similarity of two lines' members reaches the threshold; sizes settle some pairs before."""
     if min(len(x), len(y)) < threshold * max(len(x), len(y)):
         return False
-    both = len(x & y)
+    if isinstance(x, set) and isinstance(y, set):
+        both = len(x & y)
+    elif isinstance(x, set) or isinstance(y, set):
+        x, y = (z if isinstance(z, set) else unpacked(z) for z in (x, y))
+        both = len(x & y)
+    else:
+        z = np.sort(np.concatenate((x, y)), kind="stable")  # merges the two sorted runs
+        both = int((z[1:] == z[:-1]).sum())
     return both >= threshold * (len(x) + len(y) - both) - 1e-12
 
 
+def unpacked(packed: np.ndarray, k: int = SHINGLE) -> set[str]:
+    return {"".join(chr(v >> 9 * j & 511) for j in range(k - 1, -1, -1)) for v in packed.tolist()}
+
+
+def jaccard(a: str, b: str, k: int, threshold: float) -> bool:
+    return alike(members_of(a, k), members_of(b, k), threshold)
+
+
+class Members:
+    """members_of() of lines by id, kept while the lines held are under ``most`` characters."""
+
+    def __init__(self, most: int = 2_000_000):
+        self.most, self.size = most, 0
+        self.known: dict[int, np.ndarray | set[str]] = {}
+
+    def of(self, i: int, line: str) -> np.ndarray | set[str]:
+        if i not in self.known:
+            if self.size + len(line) > self.most:
+                self.known.clear()
+                self.size = 0
+            self.known[i] = members_of(line, SHINGLE)
+            self.size += len(line)
+        return self.known[i]
+
+
 def codes(lines: list[str], k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Hashes of all lines' shingles (code points), each line's first one, and the lines' numbers of shingles."""
     lines = [x.ljust(k, "\0") for x in lines]
@@ -188,8 +226,9 @@ def _texts(docs: DataFrame, wanted: DataFrame) -> DataFrame:
 
 def _linked(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     """Of candidate pairs (a, b, x, y) those whose lines x and y are similar."""
+    held = Members()
     for b in batches:
-        ok = [jaccard(x, y, SHINGLE, THRESHOLD) for x, y in zip(b.x, b.y, strict=True)]
+        ok = [alike(held.of(i, x), held.of(j, y), THRESHOLD) for i, j, x, y in zip(b.a, b.b, b.x, b.y, strict=True)]
         yield b.loc[ok, ["a", "b"]]
 
 
@@ -197,25 +236,20 @@ def _linked_in_blocks(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]
     """Links between components inside each block pair; rows (grp, id, label, line) come sorted by grp."""
 
     def links(part: pd.DataFrame) -> list[tuple]:
-        out, root, known = [], {}, {}
+        out, root, held = [], {}, Members()
 
         def find(x):
             while root.setdefault(x, x) != x:
                 x = root[x]
             return x
 
-        def set_of(i: int) -> set[str]:
-            if i not in known:
-                known[i] = shingles(lines[i], SHINGLE)
-            return known[i]
-
         lines, label, size = part.line.tolist(), part.label.to_numpy(np.int64), part["size"].to_numpy()
-        sketch = part[WORDS].to_numpy(np.int64)
+        sketch = part[WORDS].to_numpy(np.int64).view(np.uint64)  # bitwise_count takes the absolute value of signed numbers
         for i in range(len(part) - 1):
             differ = np.bitwise_count(sketch[i + 1 :] ^ sketch[i]).sum(axis=1, dtype=np.int64)
             near = (differ * (1 + THRESHOLD) <= (1 - THRESHOLD) * (size[i + 1 :] + size[i]) + 1e-9) & (label[i + 1 :] != label[i])
             for j in (np.flatnonzero(near) + i + 1).tolist():
-                if (a := find(int(label[i]))) != (b := find(int(label[j]))) and alike(set_of(i), set_of(j), THRESHOLD):
+                if (a := find(int(label[i]))) != (b := find(int(label[j]))) and alike(held.of(i, lines[i]), held.of(j, lines[j]), THRESHOLD):
                     root[max(a, b)] = min(a, b)
                     out.append((int(label[i]), int(label[j])))
         return out

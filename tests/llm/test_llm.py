@@ -102,6 +102,8 @@ def test_decontaminate_edges(spark):
     cut = decontaminate.remove(docs, bench, mode="spans")
     assert cut.columns == docs.columns and cut.count() == docs.count()
     assert decontaminate.report(cut, bench).where("contaminated").count() == 0
+    joined = decontaminate.remove(docs, bench, mode="spans", max_broadcast_bytes=0)
+    assert sorted(map(tuple, joined.collect()), key=repr) == sorted(map(tuple, cut.collect()), key=repr)
 
 
 # 2
@@ -292,6 +294,25 @@ def test_line_dedup(spark, sf):
     assert len(pairs) > 5 and len(got ^ want) <= max(2, len(pairs) // 50)  # the banding's recall
 
 
+def test_sketches_never_lose_a_pair():
+    rng = np.random.default_rng(4)
+    base = "".join(rng.choice(list("abcdé "), 300))
+    lines = ["", "ab", base, "\U0001f600" + base, *("".join(c if rng.random() > p else "z" for c in base[: int(n)]) for p in (0.001, 0.01, 0.05) for n in rng.integers(5, 300, 30)), base * 40]
+    sketch, size = line_dedup.sketches(lines)
+    sketch = sketch.view(np.uint64)
+    assert size.tolist() == [max(1, len(x) - line_dedup.SHINGLE + 1) for x in lines]
+    near = 0
+    for i in range(len(lines)):
+        for j in range(i):
+            differ = int(np.bitwise_count(sketch[i] ^ sketch[j]).sum())
+            x, y = (line_dedup.shingles(lines[k], line_dedup.SHINGLE) for k in (i, j))
+            assert differ <= len(x ^ y)
+            alike = len(x & y) >= 0.8 * len(x | y) - 1e-12
+            assert line_dedup.jaccard(lines[i], lines[j], line_dedup.SHINGLE, 0.8) == alike
+            near += alike
+    assert near > 10
+
+
 def test_line_dedup_edges(spark, monkeypatch):
     monkeypatch.setattr(line_dedup, "BLOCK", 8)
     rng = np.random.default_rng(2)
