@@ -87,8 +87,7 @@ def report(docs: DataFrame, bench: DataFrame, n: int = 13, share: int = 20, max_
     null or wordless text have no window; a null item_id counts as the string None.
     """
     docs, bench = docs.select("doc_id", "text"), bench.select("item_id", "text")
-    size = bench.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0)) + 64 * F.count("*")).first()[0]
-    if size > max_broadcast_bytes:
+    if not _fits(bench, max_broadcast_bytes):
         return _report_by_join(docs, bench, n, share)
     windows = docs.sparkSession.sparkContext.broadcast(WindowSet([tuple(r) for r in bench.collect()], n))
 
@@ -107,67 +106,89 @@ def report(docs: DataFrame, bench: DataFrame, n: int = 13, share: int = 20, max_
     return docs.mapInPandas(scan, REPORT)
 
 
-def _report_by_join(docs: DataFrame, bench: DataFrame, n: int, share: int) -> DataFrame:
-    """As report(), by a shuffle join on 128-bit window hashes: for a benchmark too large to broadcast."""
+def _fits(bench: DataFrame, max_broadcast_bytes: int) -> bool:
+    return bench.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0)) + 64 * F.count("*")).first()[0] <= max_broadcast_bytes
+
+
+def _found_by_join(docs: DataFrame, bench: DataFrame, n: int) -> DataFrame:
+    """docs with ``spans`` (at, k) of the windows in their text and ``items`` (as strings), both null where there is none.
+
+    A shuffle join on 128-bit window hashes, for a benchmark too large to broadcast. Equal texts are looked up once.
+    """
 
     def windows(batches: Iterator[pd.DataFrame], lengths: list[int] | None) -> Iterator[pd.DataFrame]:
         for b in batches:
             for key, text in zip(b.key, b.text, strict=True):
                 words = words_of(text)
                 ks = [n if len(words) >= n else len(words)] if lengths is None else lengths
-                rows = [(key, len(words), i, k, hashlib.md5(b" ".join(words[i : i + k])).digest()) for k in ks if k for i in range(len(words) - k + 1)]
+                rows = [(key, i, k, hashlib.md5(b" ".join(words[i : i + k])).digest()) for k in ks if k for i in range(len(words) - k + 1)]
                 if rows:
-                    yield pd.DataFrame(rows, columns=["key", "n", "at", "k", "h"])
+                    yield pd.DataFrame(rows, columns=["key", "at", "k", "h"])
 
-    schema = "key string, n long, at long, k long, h binary"
+    schema = "key string, at long, k long, h binary"
     items = bench.select(F.coalesce(F.col("item_id").cast("string"), F.lit("None")).alias("key"), "text")
     items = items.mapInPandas(lambda b: windows(b, None), schema).select(F.col("key").alias("item"), "h", "k").distinct()
     lengths = [r[0] for r in items.select("k").distinct().collect()]  # at most n values
-    docs = docs.withColumn("key", F.monotonically_increasing_id().cast("string"))
-    found = docs.select("key", "text").mapInPandas(lambda b: windows(b, lengths), schema).join(items, ["h", "k"])
-    found = found.groupBy("key").agg(F.collect_set(F.struct("at", "k")).alias("spans"), F.collect_set("item").alias("items"))
+    keyed = docs.withColumn("__key", F.sha2("text", 256))
+    texts = keyed.select(F.col("__key").alias("key"), "text").where("text is not null").dropDuplicates(["key"])
+    found = texts.mapInPandas(lambda b: windows(b, lengths), schema).join(items, ["h", "k"]).groupBy(F.col("key").alias("__key"))
+    found = found.agg(F.collect_set(F.struct("at", "k")).alias("__spans"), F.collect_set("item").alias("__items"))
+    return keyed.join(found, "__key", "left").drop("__key")
+
+
+def _marks(n_words: int, spans) -> np.ndarray:
+    hit = np.zeros(n_words + 1, dtype=np.int64)
+    for x in spans if spans is not None else ():
+        hit[x["at"]] += 1
+        hit[x["at"] + x["k"]] -= 1
+    return np.cumsum(hit[:-1]) > 0
+
+
+def _report_by_join(docs: DataFrame, bench: DataFrame, n: int, share: int) -> DataFrame:
+    """As report(), for a benchmark too large to broadcast."""
 
     def finish(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             rows = []
-            for doc, text, spans, found_items in zip(b.doc_id, b.text, b.spans, b["items"], strict=True):
-                total, h = len(words_of(text)), 0
-                if spans is not None:
-                    end = 0
-                    for s, k in sorted((x["at"], x["k"]) for x in spans):
-                        h += max(0, s + k - max(end, s))
-                        end = max(end, s + k)
-                got = set(found_items) if found_items is not None else set()
+            for doc, text, spans, items in zip(b.doc_id, b.text, b["__spans"], b["__items"], strict=True):
+                total = len(words_of(text))
+                h, got = int(_marks(total, spans).sum()), set(items) if items is not None else set()
                 rows.append((doc, total, h, len(got), _digest(got), h > 0 and share * h >= total))
             out = pd.DataFrame(rows, columns=[x.split()[0] for x in REPORT.split(", ")])
             yield out.assign(doc_id=out.doc_id.astype("Int64"))
 
-    return docs.join(found, "key", "left").select("doc_id", "text", "spans", "items").mapInPandas(finish, REPORT)
+    return _found_by_join(docs, bench, n).mapInPandas(finish, REPORT)
+
 
+def _without(text: str, hit: np.ndarray) -> str:
+    """The text with its marked words cut out."""
+    raw, last, parts = text.encode("utf-8", "surrogatepass"), 0, []
+    for m, bad in zip(WORD.finditer(raw.lower()), hit, strict=True):
+        if bad:
+            parts.append(raw[last : m.start()])
+            last = m.end()
+    return b"".join([*parts, raw[last:]]).decode("utf-8", "surrogatepass")
 
-def remove(docs: DataFrame, bench: DataFrame, mode: str = "documents", n: int = 13, share: int = 20) -> DataFrame:
+
+def remove(docs: DataFrame, bench: DataFrame, mode: str = "documents", n: int = 13, share: int = 20, max_broadcast_bytes: int = 64 << 20) -> DataFrame:
     """docs without contaminated documents, or (mode="spans") with the hit words of contaminated documents cut out.
 
     The columns of docs stay as they are. A document with a null doc_id stays in mode "documents".
     """
     if mode == "documents":
-        bad = report(docs, bench, n, share).where("contaminated").select("doc_id").distinct()
+        bad = report(docs, bench, n, share, max_broadcast_bytes).where("contaminated").select("doc_id").distinct()
         return docs.join(bad, "doc_id", "left_anti").select(*docs.columns)
-    windows = docs.sparkSession.sparkContext.broadcast(WindowSet([tuple(r) for r in bench.select("item_id", "text").collect()], n))
+    bench = bench.select("item_id", "text")
+    fits = _fits(bench, max_broadcast_bytes)
+    windows = docs.sparkSession.sparkContext.broadcast(WindowSet([tuple(r) for r in bench.collect()], n)) if fits else None
 
     def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             out = []
-            for text in b.text:
-                hit, _ = windows.value.match(words_of(text))
-                if hit.any() and share * int(hit.sum()) >= len(hit):
-                    raw, last, parts = text.encode("utf-8", "surrogatepass"), 0, []
-                    for m, bad in zip(WORD.finditer(raw.lower()), hit, strict=True):
-                        if bad:
-                            parts.append(raw[last : m.start()])
-                            last = m.end()
-                    text = b"".join([*parts, raw[last:]]).decode("utf-8", "surrogatepass")
-                out.append(text)
-            yield b.assign(text=out)
-
-    return docs.mapInPandas(cut, docs.schema)
+            for text, spans in zip(b.text, b["__spans"] if windows is None else [None] * len(b), strict=True):
+                words = words_of(text)
+                hit = _marks(len(words), spans) if windows is None else windows.value.match(words)[0]
+                out.append(_without(text, hit) if hit.any() and share * int(hit.sum()) >= len(hit) else text)
+            yield b.drop(columns=["__spans", "__items"], errors="ignore").assign(text=out)
+
+    return (docs if fits else _found_by_join(docs, bench, n)).mapInPandas(cut, docs.schema)

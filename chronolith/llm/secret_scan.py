@@ -8,8 +8,10 @@ out. Pattern matches always stay.
 
 from __future__ import annotations
 
+import bisect
 import functools
 import hashlib
+import itertools
 import math
 import re
 from collections.abc import Iterator
@@ -99,16 +101,21 @@ def base_spans(text: str) -> list[tuple[int, int, str]]:
 
 def method_spans(text: str, base: list[tuple[int, int, str]], classes=CLASSES, allowed=ALLOWED) -> list[tuple[int, int, str]]:
     """High-entropy spans that no pattern match covers, and that no span of an earlier class covers."""
-    out = []
+    out, by_start = [], sorted(base)
+    starts = [s for s, _, _ in by_start]
+    reach = list(itertools.accumulate((e for _, e, _ in by_start), max))  # the furthest end of the matches so far
     for m in CANDIDATE.finditer(text):
         if any(a.fullmatch(m[0]) for a in allowed):
             continue
+        own: list[tuple[int, int, str]] = []
         for cls in classes:
             for r in cls.pattern.finditer(m[0]):
                 for s, e in entropy_spans(r[0], cls):
                     s, e = s + m.start() + r.start(), e + m.start() + r.start()
-                    if not any(x <= s and e <= y for x, y, _ in (*base, *out)):
-                        out.append((s, e, cls.kind))
+                    before = bisect.bisect_right(starts, s)
+                    if not (before and reach[before - 1] >= e) and not any(x <= s and e <= y for x, y, _ in own):
+                        own.append((s, e, cls.kind))
+        out += own
     return out
 
 
