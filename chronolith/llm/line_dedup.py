@@ -9,13 +9,14 @@ text is read. Buckets are worked off in two passes. First each line is compared
 three or more that still hold several components are then compared in full, in blocks of ``BLOCK`` lines against blocks,
 so that a bucket of any size is spread over tasks and no link inside a bucket is lost.
 
-A line also has a sketch: a bit for each value that its shingles' hashes take among ``SKETCH``. Two sketches never differ
-in more bits than the shingle sets do in members, so a pair whose sketches differ too much is below the threshold for
-certain and is not compared in full. Very long lines fill their sketches and are always compared.
+A line also has a sketch: for each value among ``SKETCH``, whether an odd number of its shingles' hashes take it. Two
+sketches never differ in more bits than the shingle sets do in members, so a pair whose sketches differ too much is below
+the threshold for certain and is not compared in full. Pairs of very long lines are always compared.
 """
 
 from __future__ import annotations
 
+import itertools
 from collections.abc import Iterator
 
 import numpy as np
@@ -29,7 +30,7 @@ from .components import connected_components
 
 SHINGLE, ROWS, BANDS, THRESHOLD = 7, 3, 7, 0.8  # a pair at 0.8 shares a band with probability 0.993, at 0.85 with 0.999
 BLOCK = 256
-SKETCH = 256  # bits
+SKETCH = 512  # bits
 WORDS = [f"s{i}" for i in range(SKETCH // 64)]  # a sketch's columns
 
 
@@ -45,13 +46,14 @@ def shingles(line: str, k: int) -> set[str]:
 
 def members_of(line: str, k: int) -> np.ndarray | set[str]:
     """The line's shingles: for long lines of code points under 512 a sorted array of the shingles packed into 63 bits, else a set."""
-    if len(line) < 200 or k > 7 or ord(max(line)) >= 512:
+    if len(line) < 200 or k > 7 or not (line.isascii() or ord(max(line)) < 512):
         return shingles(line, k)
     buf = np.frombuffer(line.encode("utf-32-le"), dtype=np.uint32).astype(np.int64)
     packed = np.zeros(len(buf) - k + 1, dtype=np.int64)
     for j in range(k):
         packed = packed << 9 | buf[j : len(buf) - k + 1 + j]
-    return np.unique(packed)
+    packed.sort()
+    return packed[np.concatenate(([True], packed[1:] != packed[:-1]))]
 
 
 def alike(x: np.ndarray | set[str], y: np.ndarray | set[str], threshold: float) -> bool:
@@ -115,11 +117,11 @@ def codes(lines: list[str], k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]
 
 
 def slices(lines: list[str], size: int = 65_536) -> Iterator[tuple[int, int]]:
-    """Ranges of lines that hold about ``size`` characters, few enough to stay in the processor's cache."""
+    """Ranges of at most 4,096 lines that hold about ``size`` characters, few enough to stay in the processor's cache."""
     at = 0
     while at < len(lines):
         to, held = at, 0
-        while to < len(lines) and held < size:
+        while to < len(lines) and held < size and to - at < 4096:
             held += len(lines[to])
             to += 1
         yield at, to
@@ -131,9 +133,11 @@ def sketches(lines: list[str], k: int = SHINGLE) -> tuple[np.ndarray, np.ndarray
     out, sizes = np.empty((len(lines), SKETCH // 64), dtype=np.int64), np.empty(len(lines), dtype=np.int64)
     for at, to in slices(lines):
         h, _, sizes[at:to] = codes(lines[at:to], k)
-        bits = np.zeros((to - at, SKETCH), dtype=bool)
-        bits[np.repeat(np.arange(to - at), sizes[at:to]), h % SKETCH] = True
-        out[at:to] = np.packbits(bits, axis=1).view(np.int64)
+        member = np.repeat(np.arange(to - at, dtype=np.int64), sizes[at:to]) << 32 | h
+        member.sort()
+        member = member[np.concatenate(([True], member[1:] != member[:-1]))]
+        times = np.bincount((member >> 32) * SKETCH + member % SKETCH, minlength=(to - at) * SKETCH)
+        out[at:to] = np.packbits((times & 1).astype(bool).reshape(-1, SKETCH), axis=1).view(np.int64)
     return out, sizes
 
 
@@ -232,36 +236,44 @@ def _linked(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         yield b.loc[ok, ["a", "b"]]
 
 
-def _linked_in_blocks(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Links between components inside each block pair; rows (grp, id, label, line) come sorted by grp."""
-
-    def links(part: pd.DataFrame) -> list[tuple]:
-        out, root, held = [], {}, Members()
+def _links_of_groups(part: pd.DataFrame) -> pd.DataFrame:
+    """Links between components inside each of whole groups of rows; a link that joins nothing new is left out."""
+    out: list[tuple] = []
+    lines, label, size, grp = part.line.tolist(), part.label.to_numpy(np.int64), part["size"].to_numpy(np.int64), part.grp.to_numpy()
+    sketch = np.ascontiguousarray(part[WORDS].to_numpy(np.int64)).view(np.uint64)  # bitwise_count takes the absolute value of signed numbers
+    ends = [*(np.flatnonzero(grp[1:] != grp[:-1]) + 1).tolist(), len(part)]
+    for at, to in itertools.pairwise([0, *ends]):
+        root: dict[int, int] = {}
+        held = Members()
 
-        def find(x):
+        def find(x: int, root: dict[int, int] = root) -> int:
             while root.setdefault(x, x) != x:
                 x = root[x]
             return x
 
-        lines, label, size = part.line.tolist(), part.label.to_numpy(np.int64), part["size"].to_numpy()
-        sketch = part[WORDS].to_numpy(np.int64).view(np.uint64)  # bitwise_count takes the absolute value of signed numbers
-        for i in range(len(part) - 1):
-            differ = np.bitwise_count(sketch[i + 1 :] ^ sketch[i]).sum(axis=1, dtype=np.int64)
-            near = (differ * (1 + THRESHOLD) <= (1 - THRESHOLD) * (size[i + 1 :] + size[i]) + 1e-9) & (label[i + 1 :] != label[i])
-            for j in (np.flatnonzero(near) + i + 1).tolist():
+        step = max(1, 32_768 // max(1, to - at))
+        for s in range(at, to, step):
+            e = min(s + step, to)
+            differ = np.bitwise_count(sketch[s:e, None] ^ sketch[None, s:to]).sum(axis=2, dtype=np.int64)
+            near = differ * (1 + THRESHOLD) <= (1 - THRESHOLD) * (size[s:e, None] + size[None, s:to]) + 1e-9
+            near &= label[s:e, None] != label[None, s:to]
+            for i, j in (np.argwhere(np.triu(near, 1)) + s).tolist():
                 if (a := find(int(label[i]))) != (b := find(int(label[j]))) and alike(held.of(i, lines[i]), held.of(j, lines[j]), THRESHOLD):
                     root[max(a, b)] = min(a, b)
                     out.append((int(label[i]), int(label[j])))
-        return out
+    return pd.DataFrame(out, columns=["a", "b"], dtype="int64")
 
+
+def _linked_in_blocks(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Links between components inside each block pair; rows (grp, id, label, line, ...) come sorted by grp."""
     held: list[pd.DataFrame] = []
     for b in batches:
-        part = pd.concat([*held, b], ignore_index=True)
-        last = part.grp.iloc[-1] if len(part) else None
-        done, held = part[part.grp != last], [part[part.grp == last]]
-        yield pd.DataFrame([x for _, g in done.groupby("grp") for x in links(g)], columns=["a", "b"], dtype="int64")
-    for g in held:
-        yield pd.DataFrame(links(g.drop_duplicates("id")) if len(g) else [], columns=["a", "b"], dtype="int64")
+        if len(part := pd.concat([*held, b], ignore_index=True)):
+            last = part.grp == part.grp.iloc[-1]
+            held = [part[last]]
+            yield _links_of_groups(part[~last])
+    for part in held:
+        yield _links_of_groups(part)
 
 
 def keepers(docs: DataFrame) -> DataFrame:
