@@ -1,22 +1,25 @@
 """HTML extraction: page structure, and nearest-URL page differencing.
 
-Pages are ordered by host and URL path, so that a page's neighbours are the nearest URLs of its host. Lines of a page
-that no element marks as its article are aligned with the neighbour's by a longest common subsequence; lines in it are
-the site's template and are deleted. Lines inside an explicit article element are the article and always stay, so that
-copies of an article under neighbouring URLs lose nothing.
+Pages are ordered by host and URL path, so that a page's neighbours are the nearest URLs of its host. The lines that
+structure leaves are aligned with those of the nearest neighbour that is not a copy by a longest common subsequence;
+lines in it are the site's template and are deleted. A neighbour is a copy of the page if over half of the lines that
+structure calls the page's article are in it, so that copies of an article under neighbouring URLs lose nothing.
 """
 
 from __future__ import annotations
 
+import bisect
 import html
 import re
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import materialise
+
 ROW = "page_id long, url string, text string, n_chars long"
 TOKEN = re.compile(
     r"<!--.*?(?:-->|\Z)|<!\[CDATA\[(?P<cdata>.*?)\]\]>|<[!?][^>]*>"
@@ -40,23 +43,24 @@ MARKS = re.compile(
     re.IGNORECASE,
 )
 ROLES = {"navigation", "banner", "contentinfo", "complementary", "search", "dialog", "alert", "alertdialog", "menu", "menubar", "form"}
+# Elements of running text: on pages without article and main, the structure's best guess of the article (fixed values).
+PROSE = {"p", "pre", "blockquote", "h1"}
 WHITE = re.compile(r"\s+")
+WINDOW = 8  # pages before and after among which the nearest one that is no copy is looked for
+BLOCK_ROWS = 512  # pages that are differenced together
 
 
 @dataclass
 class Page:
-    """A page's lines in order; kind 2: inside an article element, 1: inside main, 0: elsewhere."""
+    """A page's lines in order; kind 3: inside an article element, 2: inside main, 1: elsewhere in running text, 0: elsewhere."""
 
     lines: list[str]
     kinds: list[int]
 
-    def body(self) -> list[str]:
-        """The lines of the most specific container that has any."""
+    def body(self) -> list[tuple[str, bool]]:
+        """The lines of the most specific container that has any, and whether structure calls them the article."""
         best = max(self.kinds, default=0)
-        return [x for x, k in zip(self.lines, self.kinds, strict=True) if k == best]
-
-    def explicit(self) -> bool:
-        return 2 in self.kinds
+        return [(x, k == best) for x, k in zip(self.lines, self.kinds, strict=True) if k == best or best < 2]
 
 
 def _unwanted(name: str, attrs: str, depth: int) -> bool:
@@ -79,14 +83,14 @@ def parse(text: str | None) -> Page:
     depth = {"article": 0, "main": 0}
     text = text or ""
     lower: str | None = None
-    at, skip, nested = 0, "", 0
+    at, skip, nested, block = 0, "", 0, ""
 
     def flush() -> None:
         line = WHITE.sub(" ", html.unescape("".join(held))).strip()
         held.clear()
         if line:
             page.lines.append(line)
-            page.kinds.append(2 if depth["article"] else 1 if depth["main"] else 0)
+            page.kinds.append(3 if depth["article"] else 2 if depth["main"] else int(block in PROSE))
 
     pos = 0
     while m := TOKEN.search(text, pos):
@@ -109,6 +113,7 @@ def parse(text: str | None) -> Page:
             held.append(" ")
         elif name in BLOCKS:
             flush()
+            block = "" if m["end"] else name
         if m["end"]:
             if name in depth and depth[name]:
                 depth[name] -= 1
@@ -171,61 +176,112 @@ def common_subsequence(a: list[int], b: list[int]) -> list[bool]:
     return marks
 
 
-def without_shared(lines: list[str], other: list[str], most: float = 0.5) -> list[str] | None:
-    """lines without those shared with other; None if so much is shared that other is a copy, not a sibling, of the page."""
-    marks = common_subsequence([hash(x) for x in lines], [hash(x) for x in other])
-    shared = sum(len(x) for x, m in zip(lines, marks, strict=True) if m)
-    if shared > most * sum(map(len, lines)):
+def without_shared(body: list[tuple[str, bool]], other: list[str], most: float = 0.5) -> list[str] | None:
+    """body's lines without those shared with other; None if so much of its article is shared that other is a copy, not a sibling, of the page."""
+    marks = common_subsequence([hash(x) for x, _ in body], [hash(x) for x in other])
+    shared = sum(len(x) for (x, core), m in zip(body, marks, strict=True) if m and core)
+    if shared > most * sum(len(x) for x, core in body if core):
         return None
-    return [x for x, m in zip(lines, marks, strict=True) if not m]
+    return [x for (x, _), m in zip(body, marks, strict=True) if not m]
 
 
-def text_of(page: Page, neighbours: list[Page]) -> str:
-    lines = page.body()
-    if not page.explicit():
-        for other in neighbours:
-            if (rest := without_shared(lines, other.body())) is not None:
-                lines = rest
-                break
-    return "\n".join(lines)
+def text_of(page: Page, neighbours: Iterable[Page]) -> str:
+    """The page's text; the first of neighbours (nearest first) that is no copy decides what is template."""
+    body = page.body()
+    for other in neighbours:
+        if (rest := without_shared(body, other.lines)) is not None:
+            return "\n".join(rest)
+    return "\n".join(x for x, _ in body)
+
+
+def _key(host, path, page_id, url, digest) -> tuple:
+    """Where a page lies among the others, nulls first; pages with equal keys are repeated rows."""
+    return host, path, page_id is not None, page_id or 0, url is not None, url or "", digest
+
+
+def _edges(keyed: DataFrame) -> list[list[tuple]]:
+    """Keys at which blocks begin, WINDOW keys before and WINDOW - 1 after: ranks are a key's place in its range partition and what lies before that."""
+    spark, names = keyed.sparkSession, ["host", "path", "page_id", "url", "digest"]
+    keys = keyed.select(names).distinct().repartitionByRange("host", "path", "page_id", "url", "digest").sortWithinPartitions(names)
+    keys = materialise(keys.withColumn("at", F.monotonically_increasing_id()), "html-keys").withColumn("part", F.shiftright("at", 33))
+    sizes, before, n = sorted(keys.groupBy("part").agg(F.count("*")).collect()), [], 0
+    for part, size in sizes:
+        before.append((part, n - (part << 33)))
+        n += size
+    rows = max(BLOCK_ROWS, n // 20_000)  # at most 20,000 edges
+    ranked = keys.join(F.broadcast(spark.createDataFrame(before, "part long, shift long")), "part").withColumn("rank", F.col("at") + F.col("shift"))
+    out = []
+    for shift in (0, -WINDOW, WINDOW - 1):
+        edge = ranked.where((F.pmod(F.col("rank") - shift, F.lit(rows)) == 0) & (F.col("rank") - shift > 0)).select("rank", *names).collect()
+        out.append([_key(*r[1:]) for r in sorted(edge, key=lambda r: r.rank)])
+    return out
 
 
 def extract(pages: DataFrame) -> DataFrame:
     """One row a page: page_id, url, text (its main text, empty if none), n_chars.
 
-    A null html is an empty page. Pages of one host lie next to each other by path in range partitions, of which a hot
-    host has many; the neighbour before and the one after are the nearest URLs. Across the edge of a partition only the
-    other neighbour is used. Repeated rows each get their row, and being copies they take nothing from each other. A
-    null url or page_id stays null. Other columns are ignored.
+    A null html is an empty page. Pages are dealt to blocks of consecutive pages by host and path, of which a hot host
+    has many, and the WINDOW pages beside a block come along, so that what a page is compared with does not depend on
+    how the table is partitioned. Pages whose WINDOW pages on both sides are copies or of other hosts keep what
+    structure leaves. Repeated rows each get their row, and being copies they take nothing from each other. A null url
+    or page_id stays null. Other columns are ignored.
     """
     host = F.lower(F.regexp_extract(F.coalesce("url", F.lit("")), r"^(?:[A-Za-z][A-Za-z0-9+.-]*:)?//([^/?#]*)", 1))
     path = F.regexp_extract(F.coalesce("url", F.lit("")), r"^(?:[A-Za-z][A-Za-z0-9+.-]*:)?(?://[^/?#]*)?(.*)$", 1)
-    ordered = pages.select(F.col("page_id").cast("long").alias("page_id"), "url", "html", host.alias("host"), path.alias("path"))
-    ordered = ordered.repartitionByRange("host", "path", "page_id").sortWithinPartitions("host", "path", "page_id")
+    keyed = pages.select(host.alias("host"), path.alias("path"), F.col("page_id").cast("long").alias("page_id"), "url", F.xxhash64("html").alias("digest"), "html")
+    edges = keyed.sparkSession.sparkContext.broadcast(_edges(keyed))
+    columns = ["host", "path", "page_id", "url", "digest"]
+    shape = "host string, path string, page_id long, url string, digest long, block long, own boolean, lines string, kinds string"
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        before: tuple | None = None  # (host, page)
-        now: tuple | None = None  # (host, page, page_id, url)
+    def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        starts, lows, highs = edges.value
+        for b in batches:
+            rows = []
+            for *at, source in zip(b.host, b.path, [None if x is pd.NA else int(x) for x in b.page_id.astype("Int64")], b.url, b.digest, b.html, strict=True):
+                key, page = _key(*at), parse(source)
+                block = bisect.bisect_right(starts, key)
+                held = "\n".join(page.lines), "".join(map(str, page.kinds))
+                rows.append((*at, block, True, *held))
+                # Into the next block from WINDOW keys before its start on, into the one before up to WINDOW keys after ours.
+                if block < len(lows) and key >= lows[block]:
+                    rows.append((*at, block + 1, False, *held))
+                if block and (block > len(highs) or key <= highs[block - 1]):
+                    rows.append((*at, block - 1, False, *held))
+            out = pd.DataFrame(rows, columns=[*columns, "block", "own", "lines", "kinds"])
+            yield out.assign(page_id=out.page_id.astype("Int64"))
+
+    def difference(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held: list[list] = []  # of one block, by key: key, page, own rows
+        now = None
 
-        def row(after: tuple | None) -> tuple:
-            near = [x[1] for x in (before, after) if x is not None and x[0] == now[0] and x[0]]
-            text = text_of(now[1], near)
-            return now[2], now[3], text, len(text)
+        def near(i: int) -> Iterator[Page]:
+            for d in range(1, WINDOW + 1):
+                for j in (i - d, i + d):
+                    if 0 <= j < len(held) and held[j][0][0] == held[i][0][0] and held[i][0][0]:
+                        yield held[j][1]
 
-        def frame(rows: list[tuple]) -> pd.DataFrame:
+        def done() -> pd.DataFrame:
+            rows = []
+            for i, (key, page, own) in enumerate(held):
+                if own:
+                    text = text_of(page, near(i))
+                    rows += [(key[3] if key[2] else None, key[5] if key[4] else None, text, len(text))] * own
+            held.clear()
             out = pd.DataFrame(rows, columns=["page_id", "url", "text", "n_chars"])
             return out.assign(page_id=out.page_id.astype("Int64"))
 
         for b in batches:
-            rows = []
-            for page_id, url, source, h in zip(b.page_id.astype("Int64"), b.url, b.html, b.host, strict=True):
-                after = (h, parse(source), page_id, url)
-                if now is not None:
-                    rows.append(row(after))
-                    before = now
-                now = after
-            yield frame(rows)
-        if now is not None:
-            yield frame([row(None)])
-
-    return ordered.select("page_id", "url", "html", "host").mapInPandas(run, ROW)
+            for *at, block, own, lines, kinds in zip(b.host, b.path, [None if x is pd.NA else int(x) for x in b.page_id.astype("Int64")], b.url, b.digest, b.block, b.own, b.lines, b.kinds, strict=True):
+                if block != now:
+                    if held:
+                        yield done()
+                    now = block
+                key = _key(*at)
+                if not held or held[-1][0] != key:
+                    held.append([key, Page(lines.split("\n") if lines else [], list(map(int, kinds))), 0])
+                held[-1][2] += bool(own)
+        if held:
+            yield done()
+
+    dealt = keyed.mapInPandas(cut, shape)
+    return dealt.repartition("block").sortWithinPartitions("block", *columns).mapInPandas(difference, ROW)

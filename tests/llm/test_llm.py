@@ -234,6 +234,27 @@ def test_html_differencing(spark):
         assert all(x in it for x, m in zip(a, marks, strict=True) if m)
 
 
+def test_html_differencing_in_articles(spark, monkeypatch):
+    share, end = "<p>Share this on all networks</p>", "<div>Imprint</div><p>Read also</p>"
+    menu = "".join(f"<div>Menu entry {i} of a large site menu</div>" for i in range(40))
+    body = lambda i: f"<p>Body number {i}, all its own {i * 7}.</p><p>And more of number {i}, so that it is an article.</p>"
+    own = lambda i: f"Body number {i}, all its own {i * 7}.\nAnd more of number {i}, so that it is an article."
+    rows = [(i, f"https://a.org/{i:03}", f"<article>{share}{body(i)}{end}</article>") for i in range(30)]
+    rows += [(100 + i, f"https://b.org/{i:03}", f"{menu}{body(i)}{end}") for i in range(30)]  # short articles under a large menu
+    rows += [(200 + i, f"https://c{i // 2}.org/{i}", f"<article>{share}{body(i)}{end}</article>") for i in range(40)]  # hosts of two pages
+    rows += [(300 + i, f"https://d.org/{i}", f"<article>{share}{body(5)}{end}</article>") for i in range(4)]  # copies only
+    rows += [(400 + i, f"https://e.org/{i}", f"<article>{share}{body(i // 3)}{end}</article>") for i in range(9)]  # copies beside others
+    df = spark.createDataFrame(rows, "page_id long, url string, html string")
+    for parts, block in ((1, 512), (7, 512), (7, 16)):
+        monkeypatch.setattr(html_extract, "BLOCK_ROWS", block)
+        got = {r.page_id: r.text for r in html_extract.extract(df.unionByName(df).repartition(parts)).collect()}
+        assert html_extract.extract(df.unionByName(df)).count() == 2 * len(rows)
+        for page_id, want in [(i, i) for i in range(30)] + [(100 + i, i) for i in range(30)] + [(200 + i, i) for i in range(40)] + [(400 + i, i // 3) for i in range(9)]:
+            assert got[page_id] == own(want), page_id
+        for i in range(4):
+            assert got[300 + i] == f"Share this on all networks\n{own(5)}\nImprint\nRead also"
+
+
 # 4
 
 
