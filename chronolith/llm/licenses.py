@@ -1,7 +1,7 @@
 """Licence scans by sentence rules, in DataFrame functions only.
 
-A text is cut into sentences, each is normalised, known licence sentences become identifiers, and the sequence of
-identifiers is matched against ordered rules: a licence is found where its rule's identifiers follow each other with no
+A text is cut into sentences, each is normalised, known licence sentences become identifiers (also where they are wrapped
+over lines), and the sequence of identifiers is matched against ordered rules: a licence is found where its rule's identifiers follow each other with no
 other known sentence between them.
 """
 
@@ -70,6 +70,8 @@ RULES: list[tuple[str, list[str]]] = [
 ]
 # A sentence ends at a line break, or at . ! ? : ; before white space (fixed value; the same in Java's and RE2's syntax).
 SENTENCE_END = "[.!?:;]*[ \\t\\r]*\\n|[.!?:;]+[ \\t\\r]+"
+# A line break with no end of a sentence before it, where a sentence may go on; it is marked by the character SOFT.
+SOFT, SOFT_BREAK = "\x01", "(?<![.!?:; \\t\\r])([ \\t\\r]*\\n)"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
@@ -100,18 +102,46 @@ def scan(docs: DataFrame) -> DataFrame:
     """One row a document: doc_id, n_sentences (known ones), sentence_seq, licenses (sorted, comma-joined), n_licenses, first_sentence.
 
     sentence_seq has the identifiers in text order, each between bars; first_sentence is the position of the first known
-    sentence among all sentences of the text, -1 without one. Null and empty texts have none. The whole text is cut; a
+    sentence among all sentences of the text, -1 without one. A line break ends a sentence, unless the lines that follow
+    up to the next end or blank line complete a known one: that counts once, the longest from the left. Comment leaders
+    of other characters than letters and digits do not matter. first_sentence counts the lines of wrapped ones. Null and empty texts have none. The whole text is cut; a
     repeated row gets its own row; other columns of docs are ignored.
     """
     known = sentence_ids()
     table = F.create_map(*[F.lit(x) for kv in known.items() for x in kv])
     longest = max(map(len, known))
-    docs = docs.select("doc_id", F.split(F.coalesce("text", F.lit("")), SENTENCE_END).alias("parts"))
+    first = "^(" + "|".join(sorted({k.split(" ")[0] for k in known})) + ")( |$)"
+    text = F.regexp_replace(F.translate(F.coalesce("text", F.lit("")), SOFT, "\x02"), SOFT_BREAK, SOFT + "$1")
+    docs = docs.select("doc_id", F.split(text, SENTENCE_END).alias("parts"))
+    # s is a normalised part, soft whether the sentence may go on in the next one.
+    docs = docs.select("doc_id", F.transform("parts", lambda p: F.struct(normalised(p).alias("s"), F.endswith(p, F.lit(SOFT)).alias("soft"))).alias("parts"))
     # Only parts short enough to be a known sentence after normalising can be one if they aren't mostly punctuation; those are cut too.
-    ids = F.transform(F.transform("parts", normalised), lambda s: F.when(F.length(s) <= longest, F.element_at(table, s)))
-    docs = docs.select("doc_id", ids.alias("ids"))
-    seq = F.concat(F.lit("|"), F.array_join(F.filter("ids", lambda x: x.isNotNull()), "|"), F.lit("|"))
-    docs = docs.select("doc_id", F.size(F.filter("ids", lambda x: x.isNotNull())).cast("long").alias("n_sentences"), seq.alias("sentence_seq"), F.size(F.filter("ids", lambda x: x.isNotNull())).alias("k"), (F.coalesce(F.array_position(F.transform("ids", lambda x: x.isNotNull()), F.lit(True)), F.lit(0)) - 1).cast("long").alias("first_sentence"))
+    look = lambda s: F.when(F.length(s) <= longest, F.element_at(table, s))
+
+    def further(x: Column, part: Column) -> Column:
+        """x: the joined parts so far, whether they go on, how many they are, and the longest known sentence among them."""
+        joined = F.concat_ws(" ", x["s"], part["s"])
+        on = x["on"] & (part["s"] != "") & (F.length(joined) <= longest)
+        hit = F.when(on, F.element_at(table, joined))
+        return F.struct(
+            F.when(on, joined).otherwise(x["s"]).alias("s"), (on & part["soft"]).alias("on"), (x["n"] + 1).alias("n"),
+            F.coalesce(hit, x["id"]).alias("id"), F.when(hit.isNotNull(), x["n"] + 1).otherwise(x["len"]).alias("len"),
+        )
+
+    def sentence(p: Column, i: Column) -> Column:
+        """The longest known sentence that begins with part i; a known one has two characters a part at least, so that no more parts are looked at."""
+        start = F.struct(p["s"].alias("s"), p["soft"].alias("on"), F.lit(1).alias("n"), look(p["s"]).alias("id"), F.lit(1).alias("len"))
+        run = F.aggregate(F.slice("parts", i + 2, longest // 2 + 1), start, further)
+        wrapped = F.when(p["soft"] & p["s"].rlike(first), F.transform(F.array(run), lambda x: F.struct(x["id"].alias("id"), i.alias("at"), x["len"].alias("len")))[0])
+        return F.coalesce(wrapped, F.struct(look(p["s"]).alias("id"), i.alias("at"), F.lit(1).alias("len")))
+
+    docs = docs.select("doc_id", F.filter(F.transform("parts", sentence), lambda x: x["id"].isNotNull()).alias("hits"))
+    # What lies inside a longer sentence that began before is no sentence of its own.
+    empty = F.array().cast("array<struct<id:string,at:int,len:int>>")
+    over = F.aggregate("hits", empty, lambda kept, x: F.when((F.size(kept) > 0) & (F.get(kept, F.size(kept) - 1)["at"] + F.get(kept, F.size(kept) - 1)["len"] > x["at"]), kept).otherwise(F.concat(kept, F.array(x))))
+    docs = docs.select("doc_id", F.when(F.exists("hits", lambda x: x["len"] > 1), over).otherwise(F.col("hits")).alias("hits"))
+    seq = F.concat(F.lit("|"), F.array_join(F.transform("hits", lambda x: x["id"]), "|"), F.lit("|"))
+    docs = docs.select("doc_id", F.size("hits").cast("long").alias("n_sentences"), seq.alias("sentence_seq"), F.size("hits").alias("k"), F.coalesce(F.get("hits", F.lit(0))["at"], F.lit(-1)).cast("long").alias("first_sentence"))
     found = F.array_compact(F.array(*[F.when(F.contains(F.col("sentence_seq"), F.lit("|" + "|".join(rule) + "|")), F.lit(name)) for name, rule in RULES]))
     found = F.when(F.col("k") > 0, F.array_sort(F.array_distinct(found))).otherwise(F.array().cast("array<string>"))
     docs = docs.withColumn("found", found)
@@ -119,7 +149,7 @@ def scan(docs: DataFrame) -> DataFrame:
 
 
 def scan_sql() -> str:
-    """scan() over documents in DuckDB SQL."""
+    """scan() over documents in DuckDB SQL, where no known sentence is wrapped over lines: it takes each line by itself."""
     quote = lambda s: "'" + s.replace("'", "''") + "'"
     known = sentence_ids()
     keys, vals = ", ".join(map(quote, known)), ", ".join(map(quote, known.values()))

@@ -280,6 +280,30 @@ def test_licenses(spark, sf):
     assert "MIT" in brute_licenses(mit)[2]
 
 
+def test_licenses_wrapped(spark):
+    import textwrap
+
+    v = {k: x[0] for k, x in licenses.SENTENCES.items()}
+    mit = [v["mit_title"], "Copyright (c) 2020 X", v["mit_grant"], v["mit_notice"], v["mit_warranty"] + " IN NO EVENT SHALL THE AUTHORS BE LIABLE."]
+    bsd = [v["bsd_redistribution"], "1. " + v["bsd_source"], "2. " + v["bsd_binary"], "3. " + v["bsd_endorse"]]
+    gpl = [v["gpl_free"], v["gpl_hope"] + " without even the implied warranty of MERCHANTABILITY."]
+    want = {"MIT": "|mit_title|mit_grant|mit_notice|mit_warranty|", "BSD-2-Clause,BSD-3-Clause": "|bsd_redistribution|bsd_source|bsd_binary|bsd_endorse|", "GPL-3.0": "|gpl_free|gpl_hope|", "ISC": "|isc_grant|", "MPL-2.0": "|mpl_ref|"}
+    cases = []
+    for (name, seq), paragraphs in zip(want.items(), (mit, bsd, gpl, [v["isc_grant"]], [v["mpl_ref"]]), strict=True):
+        for width in (24, 40, 72, 80):
+            for lead, end in (("", "\n"), (" * ", "\n"), ("// ", "\r\n"), ("# ", " \n")):
+                lines = end.join(end.join(lead + x for x in textwrap.wrap(p, width)) + end + lead for p in paragraphs)
+                cases.append((lines, name, seq))
+    cases.append(("MIT License\n" + "\n".join(textwrap.wrap(v["mit_grant"], 60)), "MIT", "|mit_title|mit_grant|"))  # no blank line
+    cases.append(("This project is\nlicensed under the Apache License, Version 2.0.\nMore", "Apache-2.0", "|apache_ref|"))
+    cases.append(("x\x01. (C) X. All rights\nreserved.", "All-Rights-Reserved", "|reserved|"))
+    cases += [("All rights\n\nreserved.", "", "||"), ("All rights.\nreserved.", "", "||"), ("all rights\nof mine reserved", "", "||")]
+    got = {r.doc_id: r for r in licenses.scan(frame(spark, [c[0] for c in cases])).collect()}
+    for i, (text, name, seq) in enumerate(cases):
+        assert (got[i].licenses, got[i].sentence_seq) == (name, seq), text
+        assert got[i].n_sentences == seq.strip("|").count("|") + (seq != "||")
+
+
 # 5
 
 
