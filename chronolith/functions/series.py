@@ -77,9 +77,17 @@ def bucketed(df: DataFrame, ts: str, width: str, keys: list[str], **aggs: Column
     return out.select(F.col("window.start").alias("bucket"), *keys, *aggs)
 
 
-def spine(df: DataFrame, bucket: str, width: str) -> DataFrame:
-    """A row for every bucket from the first to the last of df, with df's columns or nulls."""
+def spine(df: DataFrame, bucket: str, width: str, keys: tuple[str, ...] = ()) -> DataFrame:
+    """A row for every bucket from the first to the last of df (of each series, if keys are given), with df's columns or nulls."""
     from .durations import interval
 
-    ends = df.agg(F.min(bucket).alias("a"), F.max(bucket).alias("b"))
-    return ends.select(F.explode(F.sequence("a", "b", F.expr(f"interval {interval(width)}"))).alias(bucket)).join(df, bucket, "left")
+    ends = df.groupBy(*keys).agg(F.min(bucket).alias("__a"), F.max(bucket).alias("__b"))
+    out = ends.select(*keys, F.explode(F.sequence("__a", "__b", F.expr(f"interval {interval(width)}"))).alias(bucket))
+    if not keys:
+        return out.join(df, bucket, "left")
+    on = [*keys, bucket]
+    same = df.select(*[F.col(k).alias(f"__{k}") for k in on], *[c for c in df.columns if c not in on])
+    match = F.lit(True)
+    for k in on:
+        match = match & F.col(k).eqNullSafe(F.col(f"__{k}"))
+    return out.join(same, match, "left").select(*df.columns)

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import tempfile
 
+from pyspark.ml.functions import array_to_vector
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -123,6 +124,7 @@ for _w, _i in (("1m", "1 minute"), ("5m", "5 minutes"), ("1h", "1 hour"), ("1d",
 simple("bucket_multi_agg_by_tag", "events", lambda e: S.bucketed(e, "ts", "1d", ["event_type"], low=F.min("value"), high=F.max("value"), first=A.first(F.col("value"), F.col("ts")), last=A.last(F.col("value"), F.col("ts")), p95=A.percentile(F.col("value"), 95)), f"SELECT time_bucket(INTERVAL '1 day', ts, TIMESTAMP '1970-01-01') AS bucket, event_type, min(value) AS low, max(value) AS high, min_by(value, ts) AS first, max_by(value, ts) AS last, {rank_sql(95)} AS p95 FROM events GROUP BY 1, 2")
 simple("bucket_rate_delta", "events", lambda e: S.bucketed(e, "ts", "1h", [], delta=r(A.delta(F.col("value"), F.col("ts"))), rate=r(A.rate(F.col("value"), F.col("ts")), 6)), "SELECT time_bucket(INTERVAL '1 hour', ts, TIMESTAMP '1970-01-01') AS bucket, round(max_by(value, ts) - min_by(value, ts), 4) AS delta, round(CASE WHEN max(ts) > min(ts) THEN (max_by(value, ts) - min_by(value, ts)) / ((epoch_us(max(ts)) - epoch_us(min(ts))) / 1e6) ELSE 0 END, 6) AS rate FROM events GROUP BY 1")
 simple("bucket_fill_spine", "events", lambda e: S.spine(S.bucketed(e.where("user_id = 7"), "ts", "6h", [], top=F.max("value")), "bucket", "6h"), "WITH b AS (SELECT time_bucket(INTERVAL '6 hours', ts, TIMESTAMP '1970-01-01') AS bucket, max(value) AS top FROM events WHERE user_id = 7 GROUP BY 1), s AS (SELECT unnest(generate_series((SELECT min(bucket) FROM b), (SELECT max(bucket) FROM b), INTERVAL '6 hours')) AS bucket) SELECT s.bucket, top FROM s LEFT JOIN b USING (bucket)")
+simple("bucket_fill_spine_by_user", "events", lambda e: S.spine(S.bucketed(e, "ts", "6h", BY_USER, top=F.max("value")), "bucket", "6h", ("user_id",)), "WITH b AS (SELECT user_id, time_bucket(INTERVAL '6 hours', ts, TIMESTAMP '1970-01-01') AS bucket, max(value) AS top FROM events GROUP BY 1, 2), s AS (SELECT user_id, unnest(generate_series(min(bucket), max(bucket), INTERVAL '6 hours')) AS bucket FROM b GROUP BY 1) SELECT s.bucket, s.user_id, top FROM s LEFT JOIN b ON s.user_id IS NOT DISTINCT FROM b.user_id AND s.bucket = b.bucket")
 simple("sliding_window", "events", lambda e: e.groupBy(F.window("ts", "2 hours", "1 hour")).agg(F.count("*").alias("n"), F.max("value").alias("top")).select(F.col("window.start").alias("bucket"), "n", "top"), "SELECT bucket, count(*) AS n, max(value) AS top FROM (SELECT value, unnest([h, h - INTERVAL 1 HOUR]) AS bucket FROM (SELECT value, time_bucket(INTERVAL '1 hour', ts, TIMESTAMP '1970-01-01') AS h FROM events)) GROUP BY 1")
 simple("session_window", "events", lambda e: e.groupBy(F.session_window("ts", "2 hours"), "user_id").agg(F.count("*").alias("n")).select("user_id", F.col("session_window.start").alias("start"), "n"), "SELECT user_id, min(ts) AS start, count(*) AS n FROM (SELECT *, sum(new) OVER (PARTITION BY user_id ORDER BY ts) AS s FROM (SELECT *, CASE WHEN ts < lag(ts) OVER (PARTITION BY user_id ORDER BY ts) + INTERVAL 2 HOUR THEN 0 ELSE 1 END AS new FROM events)) GROUP BY user_id, s")
 simple("downsample", "events", lambda e: tables.downsample(e, "ts", "1d", ["event_type"], "value", "max"), "SELECT time_bucket(INTERVAL '1 day', ts, TIMESTAMP '1970-01-01') AS ts, event_type, max(value) AS value FROM events GROUP BY 1, 2")
@@ -266,8 +268,8 @@ def stream_stateful_ema(spark, d):
 # Classifiers
 def classified(model: str):
     def run(spark, d):
-        rows = read(spark, d, "embeddings").where("embedding is not null").select("vec_id", "label", *[F.col("embedding")[i].cast("double").alias(f"f{i}") for i in range(8)])
-        fitted = classify.train(rows, [f"f{i}" for i in range(8)], "label", model)
+        rows = read(spark, d, "embeddings").where("embedding is not null").select("vec_id", "label", array_to_vector(F.col("embedding").cast("array<double>")).alias("vector"))
+        fitted = classify.train(rows, ["vector"], "label", model)
         return classify.predict(fitted, rows, ["vec_id", "label"])
 
     return run

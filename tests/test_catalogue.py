@@ -41,6 +41,18 @@ def test_runs(spark, name):
     assert catalogue.QUERIES[name](spark, "/root/testdata/sf0.001").count() > 0
 
 
+@pytest.mark.parametrize("name", ["classify_decision_tree", "classify_random_forest", "classify_logistic_regression"])
+def test_classifiers_use_every_component(spark, tmp_path, name):
+    rows = [(i, i % 2, [float(i * k % 7) for k in range(63)] + [float(i % 2)]) for i in range(200)]
+    spark.createDataFrame(rows, "vec_id long, label int, embedding array<float>").write.parquet(f"{tmp_path}/embeddings.parquet")
+    assert all(r.prediction == r.label for r in catalogue.QUERIES[name](spark, str(tmp_path)).collect())
+
+
+def test_spine_by_user_has_every_user(spark):
+    out = catalogue.QUERIES["bucket_fill_spine_by_user"](spark, SF)
+    assert out.select("user_id").distinct().count() == catalogue.events(spark, SF).select("user_id").distinct().count() > 1
+
+
 def test_entry(spark):
     assert entry.entry(spark).count() > 0
     assert set(entry.oracle_sql()) <= set(entry.queries())
