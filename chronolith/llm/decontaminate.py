@@ -16,6 +16,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -173,11 +174,8 @@ def _without(text: str, hit: np.ndarray) -> str:
 def remove(docs: DataFrame, bench: DataFrame, mode: str = "documents", n: int = 13, share: int = 20, max_broadcast_bytes: int = 64 << 20) -> DataFrame:
     """docs without contaminated documents, or (mode="spans") with the hit words of contaminated documents cut out.
 
-    The columns of docs stay as they are. A document with a null doc_id stays in mode "documents".
+    The columns of docs stay as they are. Each row is decided by its own text, whatever its doc_id.
     """
-    if mode == "documents":
-        bad = report(docs, bench, n, share, max_broadcast_bytes).where("contaminated").select("doc_id").distinct()
-        return docs.join(bad, "doc_id", "left_anti").select(*docs.columns)
     bench = bench.select("item_id", "text")
     fits = _fits(bench, max_broadcast_bytes)
     windows = docs.sparkSession.sparkContext.broadcast(WindowSet([tuple(r) for r in bench.collect()], n)) if fits else None
@@ -191,4 +189,16 @@ def remove(docs: DataFrame, bench: DataFrame, mode: str = "documents", n: int =
                 out.append(_without(text, hit) if hit.any() and share * int(hit.sum()) >= len(hit) else text)
             yield b.drop(columns=["__spans", "__items"], errors="ignore").assign(text=out)
 
-    return (docs if fits else _found_by_join(docs, bench, n)).mapInPandas(cut, docs.schema)
+    def clean(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            stays = []
+            for text, spans in zip(b.column("text").to_pylist(), [None] * b.num_rows if fits else b.column("__spans").to_pylist(), strict=True):
+                words = words_of(text)
+                hit = _marks(len(words), spans) if windows is None else windows.value.match(words)[0]
+                stays.append(not (hit.any() and share * int(hit.sum()) >= len(hit)))
+            yield b.filter(pa.array(stays, pa.bool_())).select(names)
+
+    names, found = docs.columns, docs if fits else _found_by_join(docs, bench, n)
+    if mode == "documents":
+        return found.mapInArrow(clean, docs.schema)
+    return found.mapInPandas(cut, docs.schema)

@@ -17,9 +17,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructField, StructType
 
 from .common import materialise, partitions_for
 from .components import connected_components
@@ -182,10 +184,18 @@ def near_duplicates(docs: DataFrame, budget: int = 4, size: int = 4) -> DataFram
 
 
 def keep_one(docs: DataFrame, budget: int = 4, size: int = 4) -> DataFrame:
-    """docs with the one document of each component whose doc_id is the component's smallest; columns as they are.
+    """docs with one row of each component: the one with the smallest doc_id (nulls last), any one if that is repeated; columns as they are."""
 
-    Of rows that repeat that doc_id every one stays, as does a document with a null doc_id.
-    """
-    out = near_duplicates(docs, budget, size)
-    drop = out.where("doc_id <> component_id").select("doc_id").distinct()
-    return docs.join(drop, "doc_id", "left_anti").select(*docs.columns)
+    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            fp = np.fromiter((fingerprint(t, size) for t in b.column("text").to_pylist()), dtype=np.uint64, count=b.num_rows)
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(fp.view(np.int64))], names=[*b.schema.names, "__fp"])
+
+    # Rows get their number when they are written, so that it holds in all that follows.
+    rows = docs.mapInArrow(scan, StructType([*docs.schema.fields, StructField("__fp", LongType())]))
+    rows = materialise(rows.withColumn("__row", F.monotonically_increasing_id()), "simhash-rows")
+    best = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", F.col("__row").alias("row"))).alias("best")
+    reps = materialise(rows.groupBy(F.col("__fp").alias("fp")).agg(best), "simhash-reps")
+    roots = link_components(reps.select("fp"), budget).join(reps, "fp")
+    keep = roots.groupBy("root").agg(F.min("best").alias("best")).select(F.col("best.row").alias("__row"))
+    return rows.join(keep, "__row", "left_semi").select(*docs.columns)

@@ -593,6 +593,22 @@ def test_trie_join(spark, monkeypatch, rows):
     assert len(pairs) > 200 and got == want
 
 
+def test_rows_without_a_usable_id(spark):
+    words = lambda k: " ".join(f"w{k}x{i}" for i in range(40))
+    big = 2**60 + 1
+    rows = [(None, words(1)), (None, words(1)), (None, words(2)), (7, words(2)), (7, words(2)), (8, words(2)), (7, words(3)), (None, words(3)), (big, words(4)), (None, words(5))]
+    df = spark.createDataFrame([(d, t, "en", "s", None if d else 1) for d, t in rows], DOCS)
+    for parts in (1, 5):
+        kept = simhash.keep_one(df.repartition(parts))
+        assert kept.schema == df.schema
+        assert sorted(((r.doc_id, r.text) for r in kept.collect()), key=lambda r: r[1]) == [(None, words(1)), (7, words(2)), (7, words(3)), (big, words(4)), (None, words(5))]
+    bench = spark.createDataFrame([(1, words(2)), (2, words(5))], "item_id long, text string")
+    want = sorted(((d, t) for d, t in rows if t not in (words(2), words(5))), key=repr)
+    for most in (64 << 20, 0):
+        got = decontaminate.remove(df, bench, max_broadcast_bytes=most)
+        assert got.schema == df.schema and sorted(((r.doc_id, r.text) for r in got.collect()), key=repr) == want
+
+
 # All together
 
 
