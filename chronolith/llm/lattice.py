@@ -23,7 +23,8 @@ from .common import materialise
 from .components import connected_components
 
 SCALE, SEED = 0.5, 20
-MEET, CHANCE = 0.44, 0.009  # how often one block of a pair at cosine 0.9, and of a random pair, meets at that scale, neighbours included
+HOME, NEXT = 0.273, 0.233  # how often one block of a pair at cosine 0.9 has the same point at that scale, and how often only one's point is the other's next
+CHANCE = 0.009  # how often one block of a random pair meets at that scale, neighbours included
 RANDOM_IN_CELL = 8  # unrelated vectors that a cell may hold on average
 RECALL = 0.96  # of pairs at the threshold
 BLOCK = 384
@@ -55,12 +56,18 @@ def decode_e8(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return (2 * found[order[0], rows]).astype(np.int64), (2 * found[order[1], rows]).astype(np.int64)
 
 
+def tables_for(blocks: int) -> int:
+    """Tables that keep the recall: a pair meets in one if all of its blocks have the same point, or all but one, which is the next point of one of the two."""
+    meet = HOME**blocks + blocks * HOME ** (blocks - 1) * NEXT
+    return math.ceil(math.log(1 - RECALL) / math.log(1 - meet))
+
+
 def shape_for(n: int) -> tuple[int, int]:
     """(blocks a cell, tables) for n vectors: more blocks keep cells small, and more tables keep the recall."""
     blocks = 2
     while n * CHANCE**blocks > RANDOM_IN_CELL:
         blocks += 1
-    return blocks, math.ceil(math.log(1 - RECALL) / math.log(1 - MEET**blocks))
+    return blocks, tables_for(blocks)
 
 
 class Cells:

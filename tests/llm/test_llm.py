@@ -164,6 +164,28 @@ def test_embeddings_recall_and_groups(spark):
     assert lattice.near_duplicates(df.where("false")).count() == 0
 
 
+def mates_at(rng, base, c):
+    u = base / np.linalg.norm(base, axis=1)[:, None]
+    g = rng.standard_normal(base.shape)
+    g -= (g * u).sum(axis=1)[:, None] * u
+    return u, c * u + np.sqrt(1 - c * c) * g / np.linalg.norm(g, axis=1)[:, None]
+
+
+@pytest.mark.parametrize("n", [10_000, 1_000_000, 20_000_000])
+def test_embeddings_recall_by_shape(spark, monkeypatch, n):
+    shape = lattice.shape_for(n)
+    assert shape[0] == {10_000: 2, 1_000_000: 3, 20_000_000: 4}[n]
+    u, v = mates_at(np.random.default_rng(4), np.random.default_rng(3).standard_normal((2000, 64)), 0.9001)
+    cells = lattice.Cells(64, *shape)
+    a, b = cells.of(u), cells.of(v)
+    meets = (a == b[:, :, :1]).any(axis=(1, 2)) | (b == a[:, :, :1]).any(axis=(1, 2))
+    assert meets.mean() >= 0.95
+    monkeypatch.setattr(lattice, "shape_for", lambda _: shape)
+    rows = [(i, x.tolist()) for i, x in enumerate(np.concatenate((u[:300], v[:300])))]
+    got = lattice.near_duplicates(spark.createDataFrame(rows, "vec_id long, embedding array<double>")).where("vec_id >= 300 and component_id = vec_id - 300").count()
+    assert got >= 0.93 * 300
+
+
 # 3
 
 
