@@ -18,16 +18,13 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-import regex
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 SLICE_ROWS = 65_536  # documents packed together at most, so that a task's memory is bounded
-# How the vocabulary's byte-level pre-tokenizer splits text (fixed value).
-SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
-# The same over characters below U+0180, where re's classes can spell out \p{L} and \p{N}.
+# How the vocabulary's byte-level pre-tokenizer splits texts of characters below U+0180, letters and numbers spelled out (fixed values).
 _LETTER = r"A-Za-z\u00aa\u00b5\u00ba\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u017f"
 _NUMBER = r"0-9\u00b2\u00b3\u00b9\u00bc-\u00be"
 _SPACE = r"\t-\r \x85\xa0"
@@ -60,19 +57,25 @@ class Known(dict):
 
 
 class Encoder:
-    """Token ids of whole texts, special tokens' strings being ordinary text."""
+    """Token ids of whole texts, as the tokenizer gives them without adding special tokens.
+
+    Texts of characters below U+0180 are split here, and each distinct pre-token goes through the BPE model once. Texts
+    with other characters, or with the string of a token added to the vocabulary, are the tokenizer's own whole.
+    """
 
     MOST = 600_000
 
     def __init__(self, path: str):
-        self.split = regex.compile(SPLIT)
         self.known = Known(path)
+        added = [re.escape(t.content) for t in self.known.tokenizer.get_added_tokens_decoder().values()]
+        self.other = re.compile("|".join([BEYOND.pattern, *added]))
 
     def encode(self, text: str) -> bytes:
-        pieces = self.split.findall(text) if BEYOND.search(text) else LATIN.findall(text)
+        if self.other.search(text):
+            return np.array(self.known.tokenizer.encode(text, add_special_tokens=False).ids, dtype="<u4").tobytes()
         if len(self.known) > self.MOST:
             self.known.clear()
-        return b"".join(map(self.known.__getitem__, pieces))
+        return b"".join(map(self.known.__getitem__, LATIN.findall(text)))
 
 
 @functools.lru_cache(maxsize=2)

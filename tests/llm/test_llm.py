@@ -408,11 +408,11 @@ def test_packing(spark, sf):
 
     path = public_tokenizers.path("byte_bpe_50k.json")
     tok = Tokenizer.from_file(path)
-    tok.encode_special_tokens = True
     rng = np.random.default_rng(4)
+    newer = [chr(c) + "a " + chr(c) for c in (0x870, 0x1C89, 0x2C2F, 0xA7CB, 0x10D40, 0x11F00, 0x16D40, 0x1E4D0, 0x1FAE0)]
     wild = ["".join(chr(rng.choice([32, 9, 10, 160, 0x3000, 0x1C, 0x85, 65, 97, 0xE9, 0x30, 0xB2, 0x4E2D, 0x1F600, 0x27, 115, 46, 0x301, 0x2028, 0x180, 0x200B])) for _ in range(60)) for _ in range(150)]
     latin = ["".join(chr(rng.choice([*range(9, 28), *range(32, 0x180)])) for _ in range(80)) for _ in range(150)]
-    texts = [*ODD, *wild, *latin, "<|endoftext|> it's  we'll"]
+    texts = [*ODD, *wild, *latin, *newer, "<|endoftext|> it's  we'll", "x <|endoftext|>1", "<|endoftext|><|endoftext|>", "a <|endoftext| > b", "\u4e2d<|endoftext|>\n"]
     docs = docs_of(spark, sf).select("doc_id", "text").unionByName(frame(spark, texts, first=10_000).select("doc_id", "text"))
     got = packing.pack(docs, path, with_ids=True).toPandas()
     pieces = {d: g.sort_values("start") for d, g in got.groupby("doc_id")}
