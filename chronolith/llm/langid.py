@@ -6,8 +6,9 @@ words there are learned transitions. Forward-backward gives each word's label pr
 words of code-switched text follow their surroundings; a text's language is the one with the most of its words'
 probability.
 
-The model is fitted on the driver to a sample that does not grow with the corpus (``PER_LANGUAGE`` texts a language, by
-hash of doc_id); every text is then labelled in full.
+The model is fitted on the driver to a sample that does not grow with the corpus: about ``PER_LANGUAGE`` distinct texts
+a language, chosen by hash, are cut into chains on the executors, and about ``CHAINS`` of all their chains, again chosen
+by hash wherever in a text they lie, are fitted. Every text is then labelled in full.
 """
 
 from __future__ import annotations
@@ -19,17 +20,21 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-PER_LANGUAGE = 500  # texts fitted, a language
-MOST_CHARS = 200_000  # longer texts are not fitted (all are labelled)
-CHAINS = 5000  # chains fitted, a language
+from .common import materialise
+
+PER_LANGUAGE = 500  # texts sampled for the fit, a language
+CHAINS = 20_000  # chains fitted, all languages together
+LANGUAGES = 500  # languages learned: those with the most labelled texts
 LEXICON = 2000  # words of a language's lexicon
 BITS = 16  # hashed features
 CHAIN = 200
 ROUNDS = 60
-WORDS = re.compile(r"[^\W\d_]+|[.!?\n]")
+LETTERS = 24  # a longer run of letters is several words of a chain
+WORDS = re.compile(rf"[^\W\d_]{{1,{LETTERS}}}|[.!?\n]")
 ENDS = {".", "!", "?", "\n"}
 
 
@@ -37,7 +42,7 @@ def features(word: str, lexicon: dict[str, int]) -> list[int]:
     """Feature numbers of a lower-case word: hashed affixes and n-grams, then the lexicon's own."""
     w = f"^{word}$"
     names = [f"w{word}", *(f"p{word[:k]}" for k in (1, 2, 3)), *(f"s{word[-k:]}" for k in (1, 2, 3))]
-    names += [w[i : i + k] for k in (2, 3) for i in range(min(len(w), 24) - k + 1)]
+    names += [w[i : i + k] for k in (2, 3) for i in range(len(w) - k + 1)]
     crc, mask = zlib.crc32, (1 << BITS) - 1
     out = [crc(x.encode("utf-8", "surrogatepass")) & mask for x in names]
     known = lexicon.get(word, 0)
@@ -45,14 +50,14 @@ def features(word: str, lexicon: dict[str, int]) -> list[int]:
 
 
 def chains_of(tokens: list[str]) -> tuple[list[str], list[int]]:
-    """Words, and the lengths of the chains that they form in order."""
+    """Words, and the lengths of the chains that they form in order; digits that are no decimals, such as a superscript two, are no words."""
     words, lengths, n = [], [], 0
     for t in tokens:
         if t in ENDS:
             if n:
                 lengths.append(n)
                 n = 0
-        else:
+        elif t.isalpha() or any(map(str.isalpha, t)):
             words.append(t)
             n += 1
             if n == CHAIN:
@@ -175,7 +180,7 @@ def fit(rows: list[tuple[str, str]], seed: int = 3) -> Model:
         for w, _ in sorted(c.items(), key=lambda x: (-x[1], x[0]))[:LEXICON]:
             lexicon[w] = lexicon.get(w, 0) | 1 << k
     words, labels, lengths = [], [], []
-    some = [[c[i] for i in rng.permutation(len(c))[:CHAINS]] for c in chains]
+    some = [[c[i] for i in rng.permutation(len(c))] for c in chains]
     for k, own in enumerate(some):
         for i, chain in enumerate(own):
             parts = [(k, chain)]
@@ -218,20 +223,59 @@ def fit(rows: list[tuple[str, str]], seed: int = 3) -> Model:
     return Model(languages, lexicon, weights.astype(np.float32), move.astype(np.float32))
 
 
-def fold(doc_id) -> F.Column:
+def fold(doc_id: str) -> Column:
     """crc32 of doc_id as text, modulo 4."""
     return F.pmod(F.crc32(F.coalesce(F.col(doc_id).cast("string"), F.lit("")).cast("binary")), F.lit(4))
 
 
-def training_rows(docs: DataFrame, per_language: int = PER_LANGUAGE) -> list[tuple[str, str]]:
-    """About per_language (lang, text) rows of each language, from documents with a lang and a fold other than 2."""
-    rows = docs.select("doc_id", "text", "lang").where(F.col("lang").isNotNull() & F.col("text").isNotNull() & (fold("doc_id") != 2) & (F.length("text") <= MOST_CHARS))
-    n = {r[0]: r[1] for r in rows.groupBy("lang").count().collect()}
+def _chains(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Each text's chains, as words joined by spaces, with a place in 0..1 by hash of text and position."""
+    for b in batches:
+        for lang, text in zip(b.lang, b.text, strict=True):
+            words, lengths = chains_of(WORDS.findall(text.lower()))
+            seed, at = zlib.crc32(text.encode("utf-8", "surrogatepass")), 0
+            for s in range(0, len(lengths), 10_000):
+                rows = []
+                for i, n in enumerate(lengths[s : s + 10_000], s):
+                    rows.append((lang, zlib.crc32(f"{seed} {i}".encode()) / 2**32, " ".join(words[at : at + n])))
+                    at += n
+                yield pd.DataFrame(rows, columns=["lang", "place", "chain"])
+
+
+def training_rows(docs: DataFrame, per_language: int = PER_LANGUAGE, most: int = CHAINS) -> list[tuple[str, str]]:
+    """About most (lang, chain) rows, no language over its share, from documents with a lang and a fold other than 2.
+
+    Repeated texts of a language count once. What reaches the driver is bounded by the parameters: 2 * most chains of
+    CHAIN words of LETTERS letters, and one count a language.
+    """
+    rows = docs.select("doc_id", "text", "lang").where(F.col("lang").isNotNull() & F.col("text").isNotNull() & (fold("doc_id") != 2))
+    n = rows.groupBy("lang").agg(F.approx_count_distinct(F.xxhash64("text")).alias("n")).orderBy(F.desc("n"), "lang").limit(LANGUAGES)
+    n = {r[0]: r[1] for r in n.collect()}
     if not n:
         return []
-    share = F.create_map(*[x for k, v in n.items() for x in (F.lit(k), F.lit(min(1.0, per_language / v)))])
-    place = F.pmod(F.xxhash64("doc_id", "text"), F.lit(1 << 20)) / float(1 << 20)
-    return [(r[0], r[1]) for r in rows.where(place < F.element_at(share, F.col("lang"))).select("lang", "text").limit(2 * per_language * len(n)).collect()]
+
+    def at_most(wanted: float, counts: dict) -> Column:
+        return F.element_at(F.create_map(*[x for k, v in counts.items() for x in (F.lit(k), F.lit(min(1.0, wanted / max(1, v))))]), F.col("lang"))
+
+    place = F.pmod(F.xxhash64("text"), F.lit(1 << 20)) / float(1 << 20)
+    texts = rows.where(place < at_most(per_language, n)).select("lang", "text").dropDuplicates()
+    chains = materialise(texts.mapInPandas(_chains, "lang string, place double, chain string"), "langid-chains")
+    k = {r[0]: r[1] for r in chains.groupBy("lang").count().collect()}
+    some = chains.where(F.col("place") < at_most(most / max(1, len(k)), k)) if k else chains
+    return [(r[0], r[1]) for r in some.orderBy("place", "lang", "chain").limit(2 * most).select("lang", "chain").collect()]
+
+
+def _by_size(texts: list[str | None], size: int = 1_000_000) -> Iterator[list[str | None]]:
+    """The texts in parts of about size characters, which bound the words held at once."""
+    held, n = [], 0
+    for t in texts:
+        held.append(t)
+        n += len(t or "")
+        if n > size:
+            yield held
+            held, n = [], 0
+    if held:
+        yield held
 
 
 def predict(docs: DataFrame, model: Model) -> DataFrame:
@@ -240,14 +284,7 @@ def predict(docs: DataFrame, model: Model) -> DataFrame:
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            texts, found, held, size = b.text.tolist(), [], [], 0
-            for t in texts:
-                held.append(t)
-                size += len(t or "")
-                if size > 1_000_000:  # bounds the words held at once
-                    found += shared.value.label(held)
-                    held, size = [], 0
-            found += shared.value.label(held) if held else []
+            found = [x for part in _by_size(b.text.tolist()) for x in shared.value.label(part)]
             yield pd.DataFrame({"doc_id": b.doc_id.astype("Int64"), "held_out": b.held_out, "lang_pred": [x for x, _ in found], "score": [s for _, s in found]})
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), (fold("doc_id") == 2).alias("held_out"), "text")
@@ -257,22 +294,29 @@ def predict(docs: DataFrame, model: Model) -> DataFrame:
 def identify(docs: DataFrame) -> DataFrame:
     """predict() with a model fitted to docs' own labels; without any label all are und.
 
-    Rows that repeat a doc_id each get a row; other columns are ignored.
+    Rows that repeat a doc_id each get a row, and a null doc_id gets one; other columns are ignored.
     """
     return predict(docs, fit(training_rows(docs)))
 
 
-def accept(docs: DataFrame, least: float = 0.3) -> DataFrame:
-    """docs without those that are und or in which no language has the share ``least`` of the words; columns as they are.
+def accept(docs: DataFrame, least: float = 1 / 3) -> DataFrame:
+    """docs without those that are und or in which no language stands out; columns and rows are otherwise as they are.
 
-    A document with a null doc_id is judged like any other.
+    With n languages learned a language stands out if its share p of the words' probability is at least ``least`` of the
+    way from chance, 1/n, to 1: half of the words among four languages, two thirds of them among two. Texts that mix
+    languages without a main one and texts whose words are of none go. With one language every text with a letter stays,
+    with none every text goes. Null doc_ids and repeated rows are judged like any other, each by its own text.
     """
-    model = docs.sparkSession.sparkContext.broadcast(fit(training_rows(docs)))
+    model = fit(training_rows(docs))
+    chance = 1 / max(2, len(model.languages))
+    limit = chance + least * (1 - chance) if len(model.languages) > 1 else 0.0
+    shared = docs.sparkSession.sparkContext.broadcast(model)
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for s in range(0, len(b), 200):
-                part = b.iloc[s : s + 200]
-                yield part[[x != "und" and score >= least for x, score in model.value.label(part.text.tolist())]]
+            stays: list[bool] = []
+            for part in _by_size(b.column("text").to_pylist()):
+                stays += [x != "und" and score >= limit for x, score in shared.value.label(part)]
+            yield b.filter(pa.array(stays, pa.bool_()))
 
-    return docs.mapInPandas(run, docs.schema)
+    return docs.mapInArrow(run, docs.schema)

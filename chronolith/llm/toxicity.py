@@ -4,26 +4,26 @@ Terms are the distinct lower-case words of a text, their first 4, 5 and 6 letter
 signs written for letters. The score is a logistic function of w0, the terms' weights, and the inner products of the
 terms' factor vectors for every pair of terms, which catch combinations (an insult with a group) that a sum misses.
 
-The model is fitted on the driver to at most ``PER_CLASS`` labelled texts of each class, by hash of doc_id, with the
-terms that the chi-square statistic tells apart; every text is then scored in full.
+The model is fitted to about ``PER_CLASS`` labelled texts of each class, chosen by hash of doc_id. Their terms are worked
+out and counted on the executors; the driver gets the ``TERMS`` terms that the chi-square statistic tells apart best and,
+for each text, which of these it has. Every text is then scored in full.
 """
 
 from __future__ import annotations
 
 import re
 import zlib
-from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import materialise
 from .langid import fold
 
 PER_CLASS = 6000  # labelled texts fitted, a class
-MOST_CHARS = 200_000  # longer texts are not fitted (all are scored)
 TERMS = 20_000  # terms of the model
 CHI2 = 12.0  # least chi-square of a term
 FACTORS = 8
@@ -80,44 +80,32 @@ def margins(flat: np.ndarray, n: np.ndarray, w0: float, w: np.ndarray, v: np.nda
     return w0 + np.bincount(owner, w[flat], len(n)) + 0.5 * ((s**2).sum(axis=1) - sq), s
 
 
-def select_terms(texts: list[str], labels: np.ndarray, weight: np.ndarray) -> dict[int, int]:
-    """The terms whose presence differs most between the classes, by chi-square with Yates' correction, numbered."""
-    seen: dict[int, Counter] = {0: Counter(), 1: Counter()}
-    known: dict[str, set[int]] = {}
-    for text, y in zip(texts, labels.tolist(), strict=True):
-        terms: set[int] = set()
-        for word in set(WORDS.findall(text.lower())):
-            if word not in known:
-                known[word] = terms_of(word)
-            terms |= known[word]
-        seen[y].update(terms)
-    n1, n0 = int((labels == 1).sum()), int((labels == 0).sum())
-    n, scored = n0 + n1, []
-    for h in seen[0].keys() | seen[1].keys():
-        a, b = seen[1][h], seen[0][h]
-        if a + b < 5 or a + b > n - 5:
-            continue
-        chi = n * max(0.0, abs(a * (n0 - b) - b * (n1 - a)) - n / 2) ** 2 / ((a + b) * (n - a - b) * max(1, n1) * max(1, n0))
-        if chi >= CHI2:
-            scored.append((-chi, h))
-    return {h: i for i, (_, h) in enumerate(sorted(scored)[:TERMS])}
-
-
-def fit(rows: list[tuple[str, int]], weights: tuple[float, float] = (1.0, 1.0), seed: int = 5) -> Machine:
-    """A machine from (text, label) rows by mini-batch steps with per-weight step sizes; weights: of labels 0 and 1."""
+def all_terms(text: str | None) -> list[int]:
+    """The terms of a whole text, each once, in order."""
+    return sorted({h for word in set(WORDS.findall(text.lower())) for h in terms_of(word)}) if text else []
+
+
+def chi_square(both: Column, one: Column, n1: int, n0: int) -> Column:
+    """Chi-square with Yates' correction of a term that ``both`` texts hold, ``one`` of them of class 1."""
+    zero, n = both - one, n1 + n0
+    gap = F.greatest(F.lit(0.0), F.abs(one * (n0 - zero) - zero * (n1 - one)) - n / 2)
+    return n * gap * gap / (both * (n - both) * max(1, n1) * max(1, n0))
+
+
+def fit(rows: list[tuple[list[int], int]], terms: list[int], weights: tuple[float, float] = (1.0, 1.0), seed: int = 5) -> Machine:
+    """A machine over terms from (numbers of the terms held, label) rows by mini-batch steps with per-weight step sizes; weights: of labels 0 and 1."""
     rows = sorted(rows)
     labels = np.array([y for _, y in rows], dtype=np.int64)
     weight = np.where(labels == 1, weights[1], weights[0])
     weight = weight / weight.mean() if len(rows) else weight
-    number = select_terms([t for t, _ in rows], labels, weight) if rows else {}
     rng = np.random.default_rng(seed)
-    w, v = np.zeros(len(number)), rng.normal(0, 0.02, (len(number), FACTORS))
+    w, v = np.zeros(len(terms)), rng.normal(0, 0.02, (len(terms), FACTORS))
     base = float((weight * labels).sum() / weight.sum()) if len(rows) else 0.0
     w0 = float(np.log(max(base, 1e-4) / max(1 - base, 1e-4)))
-    machine = Machine(number, w0, w, v)
-    each = [np.array(machine.rows(t), dtype=np.int64) for t, _ in rows]
+    machine = Machine({h: i for i, h in enumerate(terms)}, w0, w, v)
+    each = [np.array(x, dtype=np.int32) for x, _ in rows]
     gw, gv, g0 = np.full_like(w, 1e-6), np.full_like(v, 1e-6), 1e-6
-    for _ in range(EPOCHS if number else 0):
+    for _ in range(EPOCHS if terms else 0):
         for ids in np.array_split(rng.permutation(len(rows)), max(1, len(rows) // 512)):
             n = np.array([len(each[i]) for i in ids])
             flat, owner = np.concatenate([each[i] for i in ids]), np.repeat(np.arange(len(ids)), n)
@@ -134,23 +122,48 @@ def fit(rows: list[tuple[str, int]], weights: tuple[float, float] = (1.0, 1.0),
     return machine
 
 
-def training_rows(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS) -> tuple[list[tuple[str, int]], tuple[float, float]]:
-    """At most about per_class labelled (text, toxic) rows of each class from folds other than 2, and the classes' weights.
+def train(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS, most_terms: int = TERMS) -> Machine:
+    """A machine fitted to about per_class labelled distinct texts of each class from folds other than 2.
 
-    The labelled ids are sampled before the join, so that what is broadcast is bounded by per_class.
+    The labelled ids are sampled before the join, so that what is broadcast is bounded by per_class; where a doc_id has
+    many texts, these are sampled again. A doc_id labelled twice counts as toxic if any label is 1.
     """
     rows = labels.select("doc_id", F.col("toxic").cast("int").alias("toxic")).where("toxic in (0, 1) and doc_id is not null").where(fold("doc_id") != 2)
     rows = rows.groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     n = {r[0]: r[1] for r in rows.groupBy("toxic").count().collect()}
     if not n:
-        return [], (1.0, 1.0)
-    place = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 20)) / float(1 << 20)
-    share = F.when(F.col("toxic") == 1, min(1.0, per_class / n.get(1, 1))).otherwise(min(1.0, per_class / n.get(0, 1)))
-    some = rows.where(place < share).limit(4 * per_class)
-    texts = docs.select("doc_id", "text").where(F.length("text") <= MOST_CHARS)
-    got = [(r[0], r[1]) for r in texts.join(F.broadcast(some), "doc_id").select("text", "toxic").collect()]
-    k = Counter(y for _, y in got)
-    return got, (n.get(0, 0) / max(1, k[0]), n.get(1, 0) / max(1, k[1]))
+        return fit([], [])
+
+    def share(counts: dict, *names: str) -> Column:
+        place = F.pmod(F.xxhash64(*names), F.lit(1 << 20)) / float(1 << 20)
+        return place < F.when(F.col("toxic") == 1, min(1.0, per_class / max(1, counts.get(1, 1)))).otherwise(min(1.0, per_class / max(1, counts.get(0, 1))))
+
+    some = rows.where(share(n, "doc_id")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(4 * per_class)
+    texts = docs.select("doc_id", "text").where("text is not null").join(F.broadcast(some), "doc_id").dropDuplicates()
+
+    def terms_in(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            yield b.assign(terms=[all_terms(t) for t in b.text])[["doc_id", "at", "toxic", "terms"]]
+
+    held = texts.withColumn("at", F.xxhash64("text")).mapInPandas(terms_in, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, at long, toxic int, terms array<long>")
+    held = materialise(held, "toxicity-terms")
+    k = {r[0]: r[1] for r in held.groupBy("toxic").count().collect()}
+    if max(k.values(), default=0) > 2 * per_class:  # few doc_ids with many texts
+        held = materialise(held.where(share(k, "at", "doc_id")), "toxicity-terms")
+        k = {r[0]: r[1] for r in held.groupBy("toxic").count().collect()}
+    n1, n0 = k.get(1, 0), k.get(0, 0)
+    seen = held.select("toxic", F.explode("terms").alias("term")).groupBy("term").agg(F.count("*").cast("double").alias("both"), F.sum("toxic").cast("double").alias("one"))
+    seen = seen.where((F.col("both") >= 5) & (F.col("both") <= n1 + n0 - 5)).withColumn("chi", chi_square(F.col("both"), F.col("one"), n1, n0))
+    terms = [r[0] for r in seen.where(F.col("chi") >= CHI2).orderBy(F.desc("chi"), "term").limit(most_terms).select("term").collect()]
+    shared = docs.sparkSession.sparkContext.broadcast({h: i for i, h in enumerate(terms)})
+
+    def numbered(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            number = shared.value
+            yield pd.DataFrame({"toxic": b.toxic, "terms": [sorted(number[h] for h in t if h in number) for t in b.terms]})
+
+    got = [(r.terms, r.toxic) for r in held.mapInPandas(numbered, "toxic int, terms array<int>").collect()]
+    return fit(got, terms, (n.get(0, 0) / max(1, n0), n.get(1, 0) / max(1, n1)))
 
 
 def predict(docs: DataFrame, machine: Machine, threshold: float = 0.3) -> DataFrame:
@@ -169,7 +182,6 @@ def predict(docs: DataFrame, machine: Machine, threshold: float = 0.3) -> DataFr
 def score(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """predict() with a machine fitted to the labels; without any label every score is near zero.
 
-    Repeated rows each get a row; a doc_id labelled twice counts as toxic if any label is 1; other columns are ignored.
+    Repeated rows each get a row, and a null doc_id gets one; other columns are ignored.
     """
-    got, weights = training_rows(docs, labels)
-    return predict(docs, fit(got, weights))
+    return predict(docs, train(docs, labels))

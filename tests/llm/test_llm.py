@@ -467,6 +467,64 @@ def test_language_id(spark):
     assert len(kept & {r.doc_id for r in held}) > 0.98 * len(held) and 10**6 not in kept
 
 
+def brute_labels(model, text):
+    """Each word's label probabilities by forward-backward over single chains, and their mean."""
+    total, n = np.zeros(len(model.languages)), 0
+    for part in re.split("[.!?\n]", (text or "").lower()):
+        words = [w for w in re.findall(r"[^\W\d_]{1,24}", part) if any(c.isalpha() for c in w)]
+        for at in range(0, len(words), langid.CHAIN):
+            emit = [sum(model.weights[f].astype(float) for f in langid.features(w, model.lexicon)) for w in words[at : at + langid.CHAIN]]
+            forward, back = [emit[0]], [np.zeros(len(model.languages))]
+            for e in emit[1:]:
+                forward.append(e + np.logaddexp.reduce(forward[-1][:, None] + model.move, axis=0))
+            for e in emit[:0:-1]:
+                back.append(np.logaddexp.reduce(model.move + e + back[-1], axis=1))
+            for f, b in zip(forward, back[::-1], strict=True):
+                total += np.exp(f + b - np.logaddexp.reduce(f + b))
+                n += 1
+    return (model.languages[int(total.argmax())], total.max() / n) if n else ("und", 0.0)
+
+
+def test_language_id_against_brute_force(spark, sf):
+    odd = [t for t in ODD if not t or len(t) < 1000] + ["\u00b2 \u00bd", "x" * 500 + " the", "la casa the house"]
+    docs = docs_of(spark, sf).where("n_chars < 6000").unionByName(frame(spark, odd, first=10**6))
+    model = langid.fit(langid.training_rows(docs))
+    got = {r.doc_id: r for r in langid.identify(docs).collect()}
+    for r in docs.collect():
+        lang, score = brute_labels(model, r.text)
+        assert got[r.doc_id].lang_pred == lang and abs(got[r.doc_id].score - score) < 1e-3, r
+    assert got[10**6 + len(odd) - 3].lang_pred == "und"
+
+
+def test_long_runs_of_letters_are_read_whole():
+    tail = langid.WORDS.findall("a" * 30 + "schen")
+    assert tail == ["a" * 24, "a" * 6 + "schen"]
+
+
+def test_training_rows_are_bounded(spark):
+    same = frame(spark, ["one two three four. five six seven"] * 400 + [f"w{chr(97 + i % 26)}{chr(97 + i // 26)} x. " * 50 for i in range(300)])
+    got = langid.training_rows(same, per_language=100, most=500)
+    assert 300 < len(got) <= 1000 and {x for x, _ in got} == {"en"}
+    assert langid.training_rows(same, per_language=100, most=500) == got
+
+
+def test_accept_drops_junk_and_mixed_texts(spark):
+    words = {"en": "the cat sat with that house when there were they which", "de": "der hund und nicht eine schule wenn dort war sie welche", "fr": "le chien avec cette maison quand elle etait pour dans", "es": "el perro con esta casa cuando ella era para donde"}
+    rng = np.random.default_rng(7)
+    some = lambda k, n: " ".join(rng.choice(words[k].split(), n))
+    clean = [(k, some(k, 30) + ". " + some(k, 20)) for k in words for _ in range(40)]
+    mixed = [". ".join(some(k, 12) for k in words), ". ".join(some(k, 8) for k in ("fr", "de", "en", "es") * 3)]
+    junk = [None, "", "12345 67890 --- 55", "\u00b2\u00b3 %%%", "\n\n"]
+    texts = [t for _, t in clean] + [some("en", 30) + ". " + some("fr", 6), *mixed, *junk]
+    df = frame(spark, texts, extra=True).unionByName(frame(spark, texts, extra=True))
+    names = spark.createDataFrame([(j, x) for j, (x, _) in enumerate(clean)], "doc_id long, lang string")
+    df = df.drop("lang").join(names, "doc_id", "left")
+    out = langid.accept(df)
+    assert out.columns == df.columns
+    assert sorted(r.doc_id for r in out.collect()) == sorted([*range(len(clean) + 1)] * 2)
+    assert langid.accept(df.where("false")).count() == 0
+
+
 def test_forward_backward():
     rng = np.random.default_rng(6)
     emit, move = rng.normal(0, 1, (9, 3)), rng.normal(0, 1, (3, 3))
@@ -514,11 +572,59 @@ def test_factorization_machine():
     pair = lambda i, j: float(v[i] @ v[j])
     assert np.allclose(m, [0.5 + w[0] + w[2] + w[3] + pair(0, 2) + pair(0, 3) + pair(2, 3), 0.5, 0.5 + w[1]])
     rows = [(f"{a} {b} filler", int(a == "idiot" and b == "group")) for a in ("idiot", "kind") for b in ("group", "rock")] * 40
-    machine = toxicity.fit(rows)
+    terms = sorted({h for x, _ in rows for h in toxicity.all_terms(x)})
+    machine = toxicity.fit([([terms.index(h) for h in toxicity.all_terms(x)], y) for x, y in rows], terms)
     s = dict(zip(["idiot group", "idiot rock", "kind group"], machine.scores(["idiot group filler", "idiot rock filler", "kind group filler"]), strict=True))
     assert s["idiot group"] > 0.5 > max(s["idiot rock"], s["kind group"])
 
 
+def test_toxicity_against_brute_force(spark):
+    sf = "/root/testdata/sf0.01"
+    more = frame(spark, [*ODD, None, "Tr0ll w@rd"], first=10**6)
+    docs, labels = docs_of(spark, sf).unionByName(more), spark.read.parquet(f"{sf}/labels.parquet")
+    machine = toxicity.train(docs, labels)
+    rows = docs.collect()
+    # Terms: those of the labelled texts whose presence tells the classes apart.
+    marks = {r.doc_id: r.toxic for r in labels.collect() if zlib.crc32(str(r.doc_id).encode()) % 4 != 2}
+    sets = [(set(toxicity.all_terms(r.text)), marks[r.doc_id]) for r in rows if r.doc_id in marks]
+    n, n1 = len(sets), sum(y for _, y in sets)
+    both, one = Counter(h for x, _ in sets for h in x), Counter(h for x, y in sets if y for h in x)
+    want = set()
+    for h, k in both.items():
+        if 5 <= k <= n - 5:
+            a, b = one[h], k - one[h]
+            want |= {h} if n * max(0, abs(a * (n - n1 - b) - b * (n1 - a)) - n / 2) ** 2 / (k * (n - k) * n1 * (n - n1)) >= toxicity.CHI2 else set()
+    assert set(machine.number) == want and len(want) > 20
+    # Scores: the sum over all pairs of terms.
+    got = {r.doc_id: r for r in toxicity.score(docs, labels).collect()}
+    gram = machine.v @ machine.v.T
+    for r in rows:
+        at = sorted({machine.number[h] for word in re.findall(toxicity.WORDS, (r.text or "").lower()) for h in toxicity.terms_of(word) if h in machine.number})
+        margin = machine.w0 + machine.w[at].sum() + np.triu(gram[np.ix_(at, at)], 1).sum()
+        assert abs(got[r.doc_id].score - 1 / (1 + np.exp(-np.clip(margin, -30, 30)))) < 1e-9
+
+
+def test_toxicity_pairs_beat_a_sum(spark, monkeypatch):
+    """Toxic only where an insult and a group meet, each as frequent in clean texts: no sum of weights tells them apart."""
+    rng = np.random.default_rng(3)
+    texts = [(f"{a} x{rng.integers(50)} y{rng.integers(50)} {b}", int((a == "idiot") == (b == "them"))) for a in ("idiot", "friend") for b in ("them", "chair") for _ in range(300)]
+    docs = frame(spark, [t for t, _ in texts])
+    labels = spark.createDataFrame([(i, y, 0) for i, (_, y) in enumerate(texts)], "doc_id long, toxic int, quality int")
+    monkeypatch.setattr(toxicity, "CHI2", 0.0)
+    machine = toxicity.train(docs, labels)
+    right = lambda m: np.mean([r.predicted == texts[r.doc_id][1] for r in toxicity.predict(docs, m, 0.5).collect() if r.held_out])
+    assert right(machine) > 0.95
+    assert right(toxicity.Machine(machine.number, machine.w0, machine.w, 0 * machine.v)) < 0.7
+
+
+def test_toxicity_sample_is_bounded(spark):
+    docs = frame(spark, ["same text here"] * 300 + [f"word{i} text here" for i in range(300)])
+    docs = docs.withColumn("doc_id", (docs.doc_id % 7) * 4 + 1)  # few ids with many texts
+    labels = spark.createDataFrame([(i * 4 + 1, i % 2) for i in range(7)], "doc_id long, toxic int")
+    assert toxicity.score(docs, labels).count() == 600
+    assert toxicity.train(docs, labels, per_class=5) is not None
+
+
 # 8
 
 
