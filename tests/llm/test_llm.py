@@ -234,6 +234,56 @@ def test_html_structure():
         html_extract.parse(odd)
 
 
+@pytest.mark.parametrize(
+    ("page", "want"),
+    [
+        ('<article style="overflow:hidden"><p>One.</p></article>', "One."),
+        ('<article><p title="hidden gem">One.</p><p data-id="comments">Two.</p><p title=don\'t>Three.</p></article>', "One.\nTwo.\nThree."),
+        ('<div class="layout has-sidebar"><article><p>One.</p></article><div class="sidebar">x</div></div>', "One."),
+        ('<div class="post no-comments"><p>One.</p></div>', "One."),
+        ('<div class="sidebar-wrap sidebar"><article><p>One.</p></article></div>', "One."),
+        ("<form action=x><article><p>One.</p></article><input></form>", "One."),
+        ("<form><p>Search</p></form><p>One.</p>", "One."),
+        ("<form id=aspnet><p>One.</p></form>", "One."),
+        ('<article><p class="notice">Note<p>One.</p><p>Two.</p></article>', "One.\nTwo."),
+        ('<article><header class="article-header"><h1>Head</h1></header><div class="entry-header">By us</div><p>One.</p></article>', "Head\nBy us\nOne."),
+        ('<main><h1>Head</h1><p>A long story of many words.</p><article class="teaser"><p>Next</p></article></main>', "Head\nA long story of many words.\nNext"),
+        ('<article><p>Story.</p></article><section class="comments"><article class="comment"><p>A much longer comment by a reader.</p></article></section>', "Story."),
+        ('<aside><article><p>A long teaser of many words.</p></article></aside><article><p>Story.</p></article>', "Story."),
+        ("<ul><li>One<li>Two</ul><dl><dt>a<dd>b</dl><table><tr><td>c<td>d<tr><td>e</table>", "One\nTwo\na\nb\nc\nd\ne"),
+        ('<p>a<span class="ad">buy</span>b <b hidden>x</b>c <i aria-hidden="true">y</i>d</p>', "a b c d"),
+        ("<p>a</p><!-- <p>no</p> --><![CDATA[x < y]]><?php no ?><!doctype html><p>b &lt;i&gt; &#x41;&nbsp;&amp;amp;</p>", "a\nx < y\nb <i> A &amp;"),
+        ("<p>a < b </ c <3 <p title='>'>d", "a < b </ c <3\nd"),
+        ("<SCRIPT>var a = '<p>no</p>'</Script ><p>one</p><textarea><p>no</textarea>", "one"),
+        ("<p>one</p><script>never closed <p>no</p>", "one"),
+        ('<p class="x>one</p><p>two</p>', "one\ntwo"),
+    ],
+)
+def test_html_cases(page, want):
+    assert html_extract.text_of(html_extract.parse(page), []) == want
+
+
+@pytest.mark.parametrize("page", ["<a ", '<a "', '<a ="', '<a =" > "', "<!--", "<!", "<", "<div>", "<ul><li>", "<b><p>", "</q>", "<a ='>", "<script>", "<![CDATA[", "&", "<nav>", "<form><p>x", "</ "])
+def test_html_takes_time_in_proportion(page):
+    import time
+
+    began = time.process_time()
+    html_extract.parse(page * (1_000_000 // len(page)))
+    assert time.process_time() - began < 5
+
+
+def test_html_without_structure_for_any_partitions(spark):
+    top, end = "<div>Menu of the site</div><div>Welcome all</div>", "<div>Imprint and privacy</div>"
+    rows = [(i, f"https://h{i % 3}.org/x/{i:04}", f"{top}<div>Text number {i} of many words, all its own {i * 7}.</div><div>And yet more of it, number {i}.</div>{end}") for i in range(200)]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string")
+    want = {i: f"Text number {i} of many words, all its own {i * 7}.\nAnd yet more of it, number {i}." for i in range(200)}
+    for c in ("host", "path", "digest", "block", "own", "lines", "kinds", "text", "n_chars"):
+        df = df.withColumn(c, df.page_id)
+    for parts in (1, 8, 211):
+        assert {r.page_id: r.text for r in html_extract.extract(df.repartition(parts)).collect()} == want
+    assert html_extract.extract(df.where("false")).count() == 0
+
+
 def test_html_differencing(spark):
     top, end = "<div>Menu of the site</div><div>Welcome all</div>", "<div>Imprint and privacy</div>"
     rows = [(i, f"https://a.org/x/{i}", f"{top}<p>Body number {i} of many words, all its own {i * 7}.</p><p>More of {i}.</p>{end}") for i in range(20)]
