@@ -14,7 +14,7 @@ TOKENIZER = "byte_bpe_50k.json"
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without a letter, and those in which no language has half of the words, go."""
+    """Documents without a letter, and those in which no language stands out (half of the words among four languages), go."""
     return langid.accept(docs)
 
 
