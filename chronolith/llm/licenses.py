@@ -1,8 +1,9 @@
 """Licence scans by sentence rules, in DataFrame functions only.
 
 A text is cut into sentences, each is normalised, known licence sentences become identifiers (also where they are wrapped
-over lines), and the sequence of identifiers is matched against ordered rules: a licence is found where its rule's identifiers follow each other with no
-other known sentence between them.
+over lines), and the sequence of identifiers is matched against ordered rules: a licence is found where its rule's
+identifiers follow each other with no other known sentence between them. Longer rules go first and use up what they
+match, so that a licence whose text is contained in another's is not found there.
 """
 
 from __future__ import annotations
@@ -42,7 +43,8 @@ SENTENCES: dict[str, list[str]] = {
     "isc_grant": ["Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies."],
     "reserved": ["All rights reserved."],
 }
-# Ordered rules: a licence, and the sentence identifiers that follow each other where it is stated (fixed values).
+# Rules: a licence, and the sentence identifiers that follow each other where it is stated (fixed values). The order in
+# which they are tried is by length, longest first, and as listed among equally long ones.
 RULES: list[tuple[str, list[str]]] = [
     ("Apache-2.0", ["apache_ref"]),
     ("Apache-2.0", ["apache_comply", "apache_copy"]),
@@ -51,8 +53,10 @@ RULES: list[tuple[str, list[str]]] = [
     ("MIT", ["mit_title", "mit_grant"]),
     ("MIT", ["mit_grant", "mit_notice"]),
     ("MIT", ["mit_notice", "mit_warranty"]),
-    ("BSD-2-Clause", ["bsd_redistribution", "bsd_source", "bsd_binary"]),
+    ("BSD-3-Clause", ["reserved", "bsd_redistribution", "bsd_source", "bsd_binary", "bsd_endorse"]),
     ("BSD-3-Clause", ["bsd_redistribution", "bsd_source", "bsd_binary", "bsd_endorse"]),
+    ("BSD-2-Clause", ["reserved", "bsd_redistribution", "bsd_source", "bsd_binary"]),
+    ("BSD-2-Clause", ["bsd_redistribution", "bsd_source", "bsd_binary"]),
     ("BSD-3-Clause", ["bsd_ref"]),
     ("GPL-3.0", ["gpl3_ref"]),
     ("GPL-2.0", ["gpl2_ref"]),
@@ -94,6 +98,17 @@ def sentence_ids() -> dict[str, str]:
     return known
 
 
+USED = "|-|"  # stands for identifiers that a rule has used up
+
+
+def spelt(rule: list[str]) -> str:
+    return "".join(f"|{x}|" for x in rule)
+
+
+def ordered_rules() -> list[tuple[str, list[str]]]:
+    return sorted(RULES, key=lambda r: -len(r[1]))
+
+
 def normalised(sentence: Column) -> Column:
     return F.trim(F.regexp_replace(F.translate(sentence, UPPER, LOWER), "[^a-z0-9]+", " "))
 
@@ -142,27 +157,56 @@ def scan(docs: DataFrame) -> DataFrame:
     docs = docs.select("doc_id", F.when(F.exists("hits", lambda x: x["len"] > 1), over).otherwise(F.col("hits")).alias("hits"))
     seq = F.concat(F.lit("|"), F.array_join(F.transform("hits", lambda x: x["id"]), "|"), F.lit("|"))
     docs = docs.select("doc_id", F.size("hits").cast("long").alias("n_sentences"), seq.alias("sentence_seq"), F.size("hits").alias("k"), F.coalesce(F.get("hits", F.lit(0))["at"], F.lit(-1)).cast("long").alias("first_sentence"))
-    found = F.array_compact(F.array(*[F.when(F.contains(F.col("sentence_seq"), F.lit("|" + "|".join(rule) + "|")), F.lit(name)) for name, rule in RULES]))
-    found = F.when(F.col("k") > 0, F.array_sort(F.array_distinct(found))).otherwise(F.array().cast("array<string>"))
+    # Each identifier gets its own bars, so that a rule's text never shares a bar with its neighbour's.
+    rules = F.array(*[F.struct(F.lit(name).alias("name"), F.lit(spelt(rule)).alias("ids")) for name, rule in ordered_rules()])
+    start = F.struct(F.replace("sentence_seq", F.lit("|"), F.lit("||")).alias("left"), F.array().cast("array<string>").alias("found"))
+
+    def use(s: Column, rule: Column) -> Column:
+        hit = F.contains(s["left"], rule["ids"])
+        return F.struct(
+            F.when(hit, F.replace(s["left"], rule["ids"], F.lit(USED))).otherwise(s["left"]).alias("left"),
+            F.when(hit, F.array_append(s["found"], rule["name"])).otherwise(s["found"]).alias("found"),
+        )
+
+    found = F.when(F.col("k") > 0, F.array_sort(F.array_distinct(F.aggregate(rules, start, use)["found"]))).otherwise(F.array().cast("array<string>"))
     docs = docs.withColumn("found", found)
     return docs.select("doc_id", "n_sentences", "sentence_seq", F.array_join("found", ",").alias("licenses"), F.size("found").cast("long").alias("n_licenses"), "first_sentence")
 
 
 def scan_sql() -> str:
-    """scan() over documents in DuckDB SQL, where no known sentence is wrapped over lines: it takes each line by itself."""
+    """scan() over documents in DuckDB SQL: candidates for wrapped sentences by a join on their number of parts, then the
+    first and longest ones step by step, then the rules one after the other."""
     quote = lambda s: "'" + s.replace("'", "''") + "'"
     known = sentence_ids()
-    keys, vals = ", ".join(map(quote, known)), ", ".join(map(quote, known.values()))
-    rules = ", ".join(f"CASE WHEN contains(sentence_seq, {quote('|' + '|'.join(rule) + '|')}) THEN {quote(name)} END" for name, rule in RULES)
-    return f"""
-    WITH known AS (SELECT map([{keys}], [{vals}]) AS m),
-    cut AS (SELECT doc_id, list_transform(regexp_split_to_array(coalesce(text, ''), '{SENTENCE_END}'),
-              lambda s: trim(regexp_replace(translate(s, '{UPPER}', '{LOWER}'), '[^a-z0-9]+', ' ', 'g'), ' ')) AS parts FROM documents),
-    ids AS (SELECT doc_id, list_transform(parts, lambda s: m[s]) AS ids FROM cut, known),
-    seq AS (SELECT doc_id, ids, len(list_filter(ids, lambda x: x IS NOT NULL)) AS k,
-              '|' || coalesce(array_to_string(list_filter(ids, lambda x: x IS NOT NULL), '|'), '') || '|' AS sentence_seq FROM ids),
-    hit AS (SELECT *, list_sort(list_distinct(list_filter([{rules}], lambda x: x IS NOT NULL))) AS found FROM seq)
-    SELECT doc_id, k::BIGINT AS n_sentences, sentence_seq, CASE WHEN k > 0 THEN coalesce(array_to_string(found, ','), '') ELSE '' END AS licenses,
-           CASE WHEN k > 0 THEN len(found) ELSE 0 END::BIGINT AS n_licenses,
-           (coalesce(list_position(list_transform(ids, lambda x: x IS NOT NULL), true), 0) - 1)::BIGINT AS first_sentence
-    FROM hit"""
+    table = ", ".join(f"({quote(k)}, {quote(v)})" for k, v in known.items())
+    firsts = ", ".join(quote(x) for x in sorted({k.split(" ")[0] for k in known}))
+    rules = ", ".join(f"({i}, {quote(name)}, {quote(spelt(rule))})" for i, (name, rule) in enumerate(ordered_rules()))
+    most = max(map(len, known)) // 2 + 2
+    return rf"""
+    WITH RECURSIVE known(s, id) AS (VALUES {table}), rules(r, name, ids) AS (VALUES {rules}),
+    marked AS (SELECT doc_id, row_number() OVER () AS d, regexp_split_to_array(regexp_replace(replace(coalesce(text, ''), chr(1), chr(2)),
+                 '([^.!?:; \t\r])([ \t\r]*\n)', '\1' || chr(1) || '\2', 'g'), '{SENTENCE_END}') AS parts FROM documents),
+    part AS (SELECT d, i, trim(regexp_replace(translate(parts[i], '{UPPER}', '{LOWER}'), '[^a-z0-9]+', ' ', 'g'), ' ') AS s, suffix(parts[i], chr(1)) AS soft
+             FROM (SELECT d, parts, unnest(range(1, len(parts) + 1)) AS i FROM marked)),
+    -- A wrapped sentence: from a part that may begin one, over parts that go on and are not blank.
+    grown(d, i, n, s, soft) AS (
+      SELECT d, i, 1, s, soft FROM part WHERE split_part(s, ' ', 1) IN ({firsts}) AND soft
+      UNION ALL
+      SELECT g.d, g.i, g.n + 1, g.s || ' ' || p.s, p.soft FROM grown g JOIN part p ON p.d = g.d AND p.i = g.i + g.n
+      WHERE g.soft AND p.s <> '' AND g.n < {most} AND length(g.s) + 1 + length(p.s) <= (SELECT max(length(s)) FROM known)),
+    sentence AS (SELECT d, i, n, id FROM grown JOIN known USING (s) UNION SELECT d, i, 1, id FROM part JOIN known USING (s)),
+    longest AS (SELECT d, i, max(n) AS n, max_by(id, n) AS id FROM sentence GROUP BY d, i),
+    -- From the left: the next sentence begins where the one before has ended.
+    taken(d, i, n, id) AS (
+      SELECT d, min(i), arg_min(n, i), arg_min(id, i) FROM longest GROUP BY d
+      UNION ALL
+      SELECT d, i, n, id FROM (SELECT l.*, row_number() OVER (PARTITION BY l.d ORDER BY l.i) AS k FROM taken t JOIN longest l ON l.d = t.d AND l.i >= t.i + t.n) WHERE k = 1),
+    seq AS (SELECT d, count(*) AS k, '|' || string_agg(id, '|' ORDER BY i) || '|' AS sentence_seq, min(i) - 1 AS place FROM taken GROUP BY d),
+    used(d, r, rest, found) AS (
+      SELECT d, 0, replace(sentence_seq, '|', '||'), CAST([] AS VARCHAR[]) FROM seq
+      UNION ALL
+      SELECT d, u.r + 1, replace(rest, ids, '{USED}'), CASE WHEN contains(rest, ids) THEN list_append(found, name) ELSE found END FROM used u JOIN rules USING (r)),
+    final AS (SELECT d, list_sort(list_distinct(found)) AS found FROM used WHERE r = (SELECT count(*) FROM rules))
+    SELECT doc_id, coalesce(k, 0)::BIGINT AS n_sentences, coalesce(sentence_seq, '||') AS sentence_seq, coalesce(array_to_string(found, ','), '') AS licenses,
+           coalesce(len(found), 0)::BIGINT AS n_licenses, coalesce(place, -1)::BIGINT AS first_sentence
+    FROM marked LEFT JOIN seq USING (d) LEFT JOIN final USING (d)"""

@@ -334,7 +334,15 @@ def brute_licenses(text):
     known = licenses.sentence_ids()
     ids = [known.get(licenses.normalise_text(p)) for p in re.split(licenses.SENTENCE_END, text or "")]
     seq = "|" + "|".join(x for x in ids if x) + "|"
-    found = sorted({name for name, rule in licenses.RULES if "|" + "|".join(rule) + "|" in seq}) if any(ids) else []
+    left, found = [x for x in ids if x], set()
+    for name, rule in sorted(licenses.RULES, key=lambda r: len(r[1]), reverse=True):
+        i = 0
+        while i + len(rule) <= len(left):
+            if left[i : i + len(rule)] == rule:
+                left[i : i + len(rule)] = [None]
+                found.add(name)
+            i += 1
+    found = sorted(found)
     return sum(x is not None for x in ids), seq, ",".join(found), len(found), next((i for i, x in enumerate(ids) if x), -1)
 
 
@@ -359,7 +367,7 @@ def test_licenses_wrapped(spark):
     mit = [v["mit_title"], "Copyright (c) 2020 X", v["mit_grant"], v["mit_notice"], v["mit_warranty"] + " IN NO EVENT SHALL THE AUTHORS BE LIABLE."]
     bsd = [v["bsd_redistribution"], "1. " + v["bsd_source"], "2. " + v["bsd_binary"], "3. " + v["bsd_endorse"]]
     gpl = [v["gpl_free"], v["gpl_hope"] + " without even the implied warranty of MERCHANTABILITY."]
-    want = {"MIT": "|mit_title|mit_grant|mit_notice|mit_warranty|", "BSD-2-Clause,BSD-3-Clause": "|bsd_redistribution|bsd_source|bsd_binary|bsd_endorse|", "GPL-3.0": "|gpl_free|gpl_hope|", "ISC": "|isc_grant|", "MPL-2.0": "|mpl_ref|"}
+    want = {"MIT": "|mit_title|mit_grant|mit_notice|mit_warranty|", "BSD-3-Clause": "|bsd_redistribution|bsd_source|bsd_binary|bsd_endorse|", "GPL-3.0": "|gpl_free|gpl_hope|", "ISC": "|isc_grant|", "MPL-2.0": "|mpl_ref|"}
     cases = []
     for (name, seq), paragraphs in zip(want.items(), (mit, bsd, gpl, [v["isc_grant"]], [v["mpl_ref"]]), strict=True):
         for width in (24, 40, 72, 80):
@@ -376,6 +384,30 @@ def test_licenses_wrapped(spark):
         assert got[i].n_sentences == seq.strip("|").count("|") + (seq != "||")
 
 
+def test_licenses_in_full_give_one_licence(spark):
+    import textwrap
+
+    import duckdb
+
+    v = {k: x[0] for k, x in licenses.SENTENCES.items()}
+    disclaimer = 'THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS "AS IS" AND ANY EXPRESS OR IMPLIED WARRANTIES ARE DISCLAIMED. IN NO EVENT SHALL THE COPYRIGHT HOLDER BE LIABLE.'
+    bsd = ["Copyright (c) 2020, X", v["reserved"], v["bsd_redistribution"], "1. " + v["bsd_source"], "2. " + v["bsd_binary"]]
+    full = {
+        "MIT": [v["mit_title"], "Copyright (c) 2020 X", v["mit_grant"], v["mit_notice"], v["mit_warranty"] + " IN NO EVENT SHALL THE AUTHORS BE LIABLE."],
+        "BSD-2-Clause": [*bsd, disclaimer],
+        "BSD-3-Clause": [*bsd, "3. " + v["bsd_endorse"], disclaimer],
+        "ISC": ["ISC License", "Copyright (c) 2020 X", v["isc_grant"], 'THE SOFTWARE IS PROVIDED "AS IS" AND THE AUTHOR DISCLAIMS ALL WARRANTIES WITH REGARD TO THIS SOFTWARE.'],
+        "Apache-2.0": ["Copyright 2020 X", v["apache_ref"].rstrip(".") + ' (the "License"); ' + v["apache_comply"] + " " + v["apache_copy"], "http://www.apache.org/licenses/LICENSE-2.0", v["apache_asis"] + " " + v["apache_see"]],
+    }
+    cases = [(name, "\n\n".join(textwrap.fill(p, w) for p in text)) for name, text in full.items() for w in (40, 72, 100, 10_000)]
+    cases += [("BSD-2-Clause,BSD-3-Clause", cases[4][1] + "\n\n" + cases[8][1]), ("BSD-3-Clause", cases[8][1] * 2)]
+    df = frame(spark, [x for _, x in cases], extra=True)
+    got = {r.doc_id: tuple(r) for r in licenses.scan(df.unionByName(df)).collect()}
+    assert [got[i][3] for i in range(len(cases))] == [name for name, _ in cases]
+    documents = df.select("doc_id", "text").toPandas()  # noqa: F841
+    assert {r[0]: r for r in duckdb.sql(licenses.scan_sql()).fetchall()} == got
+
+
 # 5
 
 
