@@ -2,7 +2,8 @@
 
 Each of several tables projects a unit vector to two blocks of eight dimensions, shifts and scales them, and takes the
 nearest E8 point of each block; the two points name the vector's cell. A vector also enters the neighbouring cells of
-its next-nearest points. Pairs that meet in a cell are verified by cosine in double precision.
+its next-nearest points. Two vectors meet if the home cell of one is a cell of the other in some table; pairs that meet
+are verified by cosine in double precision.
 
 Exact copies are one node with a count. Cells are worked off in blocks of ``BLOCK`` vectors against blocks; a task gives
 each vector's number of links and its local component, never the pairs. A pair that meets in several cells counts in the
@@ -169,14 +170,15 @@ def _verify(part: pd.DataFrame, threshold: float, cells_of: Callable[[np.ndarray
         meets = (cells[j, tt, :] == home(i, tt)[:, None]).any(axis=1) | (cells[i, tt, :] == home(j, tt)[:, None]).any(axis=1)
         first &= ~(meets & (tt < t[i]))
     hi, hj = home(i, t[i]), home(j, t[j])
-    here = (hi == cell[i]) | (hj == cell[i])  # and there in the smaller of the two homes, if both are open to it
+    # Pairs that meet only as visitors of a third vector's home are left out: whether two vectors are linked depends on them alone.
+    here = (hi == cell[i]) | (hj == cell[i])  # and counted in the smaller of the two homes, if both are open to it
     via_i, via_j = (cells[j, t[i], :] == hi[:, None]).any(axis=1), (cells[i, t[i], :] == hj[:, None]).any(axis=1)
     place = np.where(via_i & via_j, np.minimum(hi, hj), np.where(via_i, hi, hj))
     count = first & here & (place == cell[i])
     mult = part.n.to_numpy()
     links = np.bincount(gi[count], mult[gj[count]], len(part)) + np.bincount(gj[count], mult[gi[count]], len(part))
     ids = part.id.to_numpy()
-    root = ids[_local_components(len(part), gi, gj)] if len(gi) else ids
+    root = ids[_local_components(len(part), gi[here], gj[here])] if here.any() else ids
     out = pd.DataFrame({"id": ids, "n": links.astype(np.int64), "root": root})
     return out[(out.n > 0) | (out.root != out.id)]
 
