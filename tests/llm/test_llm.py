@@ -84,7 +84,7 @@ def test_decontaminate(spark, sf):
     want = brute_report([(r.doc_id, r.text) for r in docs.collect()], [tuple(r) for r in bench.select("item_id", "text").collect()])
     assert sorted(map(tuple, decontaminate.report(docs, bench).collect()), key=repr) == want
     assert any(r[5] for r in want)
-    assert sorted(map(tuple, decontaminate.report(docs, bench, max_broadcast_bytes=0).collect()), key=repr) == want
+    assert sorted(map(tuple, decontaminate.report(docs, bench, most_words=0).collect()), key=repr) == want
 
 
 def test_decontaminate_edges(spark):
@@ -94,7 +94,7 @@ def test_decontaminate_edges(spark):
     bench = spark.createDataFrame([(1, item), (2, None), (3, "short élan"), (10, "..."), (11, "a b"), (12, "a b")], "item_id long, text string")
     want = brute_report([(r.doc_id, r.text) for r in docs.collect()], [tuple(r) for r in bench.collect()])
     for most in (1 << 20, 0):
-        assert sorted(map(tuple, decontaminate.report(docs, bench, max_broadcast_bytes=most).collect()), key=repr) == want
+        assert sorted(map(tuple, decontaminate.report(docs, bench, most_words=most).collect()), key=repr) == want
     assert decontaminate.report(docs, bench.where("false")).where("n_hit > 0").count() == 0
     assert decontaminate.report(docs.where("false"), bench).count() == 0
     bad = {r[0] for r in want if r[5]}
@@ -102,10 +102,26 @@ def test_decontaminate_edges(spark):
     cut = decontaminate.remove(docs, bench, mode="spans")
     assert cut.columns == docs.columns and cut.count() == docs.count()
     assert decontaminate.report(cut, bench).where("contaminated").count() == 0
-    joined = decontaminate.remove(docs, bench, mode="spans", max_broadcast_bytes=0)
+    joined = decontaminate.remove(docs, bench, mode="spans", most_words=0)
     assert sorted(map(tuple, joined.collect()), key=repr) == sorted(map(tuple, cut.collect()), key=repr)
 
 
+def test_window_set(monkeypatch):
+    rng = np.random.default_rng(11)
+    items = [(i, " ".join(rng.choice(list("abcde"), rng.integers(0, 12)))) for i in range(60)]
+    docs = [(i, " ".join(rng.choice(list("abcdef"), rng.integers(0, 60)))) for i in range(60)]
+    for multiplier in (decontaminate.MULTIPLIER, np.uint64(1)):  # the second makes many windows collide
+        monkeypatch.setattr(decontaminate, "MULTIPLIER", multiplier)
+        known = decontaminate.WindowSet(items, 4)
+        for (_, text), want in zip(docs, sorted(brute_report(docs, items, 4), key=lambda r: r[0]), strict=True):
+            hit, found = known.match(decontaminate.words_of(text))
+            assert (len(hit), int(hit.sum()), len(found), decontaminate._digest(found)) == want[1:5]
+    import pickle
+
+    words = [f"word{i}".encode() for i in range(300_000)]
+    assert len(pickle.dumps(decontaminate.WindowSet([(1, b" ".join(words).decode())], 13))) < 40_000_000
+
+
 # 2
 
 
@@ -836,7 +852,7 @@ def test_rows_without_a_usable_id(spark):
     bench = spark.createDataFrame([(1, words(2)), (2, words(5))], "item_id long, text string")
     want = sorted(((d, t) for d, t in rows if t not in (words(2), words(5))), key=repr)
     for most in (64 << 20, 0):
-        got = decontaminate.remove(df, bench, max_broadcast_bytes=most)
+        got = decontaminate.remove(df, bench, most_words=most)
         assert got.schema == df.schema and sorted(((r.doc_id, r.text) for r in got.collect()), key=repr) == want
 
 
