@@ -7,6 +7,7 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 @functools.lru_cache(maxsize=1)
@@ -35,5 +36,16 @@ def partitions_for(spark: SparkSession, rows: int, rows_each: int) -> int:
     return max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-rows // rows_each))
 
 
+def join_by_key(rows: DataFrame, stats: DataFrame, keys: list[str], n_rows: int, most: int = 10_000) -> DataFrame:
+    """rows.join(stats, keys), where stats has at most one row a key and n, how many of the n_rows rows have it.
+
+    Keys with over n_rows / most rows are broadcast, of which there are fewer than most, so that no hot key is one task's.
+    """
+    limit = max(128, n_rows // most)
+    hot = F.broadcast(stats.where(F.col("n") > limit))
+    cold = rows.join(F.broadcast(stats.where(F.col("n") > limit).select(keys)), keys, "left_anti").join(stats.where(F.col("n") <= limit), keys)
+    return rows.join(hot, keys).unionByName(cold)
+
+
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")

@@ -20,7 +20,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialise
+from .common import join_by_key, materialise
 from .components import connected_components
 
 SCALE, SEED = 0.5, 20
@@ -216,7 +216,8 @@ def near_duplicates(vectors: DataFrame, threshold: float = 0.9, scale: float = S
     narrow = materialise(narrow.select("id", "dim", "cell", F.floor(F.col("at") / (1 + blocks)).cast("int").alias("t"), (F.col("at") % (1 + blocks) == 0).cast("int").alias("home")), "lattice-cells")
     shared = narrow.groupBy("dim", "t", "cell").agg(F.count("*").alias("k"), F.max("home").alias("homes"), F.min("id").alias("lo"), F.max("id").alias("hi")).where("homes = 1 and lo < hi")
     cuts = F.ceil(F.col("k") / BLOCK).cast("int")
-    members = narrow.join(shared.select("dim", "t", "cell", cuts.alias("cuts")), ["dim", "t", "cell"])
+    shared = shared.select("dim", "t", "cell", F.col("k").alias("n"), cuts.alias("cuts"))
+    members = join_by_key(narrow, shared, ["dim", "t", "cell"], narrow.count()).drop("n")
     members = members.withColumn("own", F.pmod(F.xxhash64("id"), F.col("cuts")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("cuts") - 1)))
     members = members.select("id", "dim", "t", "cell", "own", F.least("own", "other").alias("p"), F.greatest("own", "other").alias("q"))
     members = members.withColumn("grp", F.xxhash64("dim", "t", "cell", "p", "q"))
@@ -240,7 +241,7 @@ def near_duplicates(vectors: DataFrame, threshold: float = 0.9, scale: float = S
     roots = connected_components(found.select("id", "root"), "id", "root")
     links = found.groupBy("id").agg(F.sum("n").alias("links"))
     out = nodes.join(links, "id", "left").join(roots, "id", "left")
-    out = out.select(F.col("e").alias("node_e"), (F.coalesce("links", F.lit(0)) + F.col("n") - 1).alias("n_links"), F.coalesce("component", "id").alias("component_id"))
-    linked = good.join(out, F.col("e") == F.col("node_e")).select("vec_id", "n_links", "component_id")
+    out = out.select("e", "n", (F.coalesce("links", F.lit(0)) + F.col("n") - 1).alias("n_links"), F.coalesce("component", "id").alias("component_id"))
+    linked = join_by_key(good, out, ["e"], good.count(), 1000).select("vec_id", "n_links", "component_id")
     rest = rows.where(~whole | F.col("vec_id").isNull()).select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"))
     return linked.unionByName(rest).withColumn("kept", F.coalesce(F.col("vec_id") == F.col("component_id"), F.lit(True)))

@@ -25,7 +25,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialise
+from .common import join_by_key, materialise
 from .components import connected_components
 
 SHINGLE, ROWS, BANDS, THRESHOLD = 7, 3, 7, 0.8  # a pair at 0.8 shares a band with probability 0.993, at 0.85 with 0.999
@@ -169,9 +169,9 @@ class MinHasher:
 
 
 def _occurrences(docs: DataFrame) -> DataFrame:
-    """(doc_id, pos, h1, h2, k0, k1, ...): lines that are not blank, by number in their document, with hash and band keys.
+    """(doc_id, tag, pos, h1, h2, k0, k1, ...): lines that are not blank, by number in their document, with hash and band keys.
 
-    Of equal lines read together only the first by (doc_id, pos) is returned; null doc_ids come first.
+    Of equal lines read together only the first by (doc_id, tag, pos) is returned; null doc_ids come first.
     """
     names = [f"k{i}" for i in range(BANDS)]
 
@@ -184,18 +184,19 @@ def _occurrences(docs: DataFrame) -> DataFrame:
             frame = pd.DataFrame(hasher.keys(lines), columns=names)
             frame.insert(0, "h2", digest[:, 1])
             frame.insert(0, "h1", digest[:, 0])
-            frame.insert(0, "pos", np.array([at[2] for at in first.values()], dtype=np.int64))
+            frame.insert(0, "pos", np.array([at[3] for at in first.values()], dtype=np.int64))
+            frame.insert(0, "tag", np.array([at[2] for at in first.values()], dtype=np.int64))
             frame.insert(0, "doc_id", pd.array([at[1] if at[0] else None for at in first.values()], dtype="Int64"))
             return frame
 
         first: dict[str, tuple] = {}
         size = 0
         for b in batches:
-            for doc, text in zip(b.doc_id.astype("Int64"), b.text, strict=True):
+            for doc, tag, text in zip(b.doc_id.astype("Int64"), b.tag, b.text, strict=True):
                 named = doc is not pd.NA
                 for i, line in enumerate(text.split("\n") if text else ()):
                     if x := normal(line):
-                        at = (named, doc if named else 0, i)
+                        at = (named, doc if named else 0, tag, i)
                         if at < first.setdefault(x, at):
                             first[x] = at
                 size += len(text or "")
@@ -205,13 +206,14 @@ def _occurrences(docs: DataFrame) -> DataFrame:
         if first:
             yield out(first)
 
-    return docs.select("doc_id", "text").mapInPandas(run, "doc_id long, pos long, h1 long, h2 long, " + ", ".join(f"{n} long" for n in names))
+    return docs.select("doc_id", "tag", "text").mapInPandas(run, "doc_id long, tag long, pos long, h1 long, h2 long, " + ", ".join(f"{n} long" for n in names))
 
 
 def _texts(docs: DataFrame, wanted: DataFrame) -> DataFrame:
-    """(id, line, size, s0, s1, ...): the normal form of each wanted (id, doc_id, pos), its number of shingles and its sketch."""
-    per_doc = wanted.groupBy("doc_id").agg(F.collect_list(F.struct("pos", "id")).alias("at"))
-    joined = docs.select("doc_id", "text").join(per_doc, docs.doc_id.eqNullSafe(per_doc.doc_id)).select("text", F.col("at.pos").alias("pos"), F.col("at.id").alias("id"))
+    """(id, line, size, s0, s1, ...): the normal form of each wanted (id, doc_id, tag, pos), its number of shingles and its sketch."""
+    per_doc = wanted.groupBy("doc_id", "tag").agg(F.collect_list(F.struct("pos", "id")).alias("at"))
+    same = docs.doc_id.eqNullSafe(per_doc.doc_id) & (docs.tag == per_doc.tag)
+    joined = docs.join(per_doc, same).select("text", F.col("at.pos").alias("pos"), F.col("at.id").alias("id"))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
@@ -276,16 +278,24 @@ def _linked_in_blocks(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]
         yield _links_of_groups(part)
 
 
+def tagged(docs: DataFrame) -> DataFrame:
+    return docs.select("doc_id", F.xxhash64("text").alias("tag"), "text")
+
+
 def keepers(docs: DataFrame) -> DataFrame:
-    """(doc_id, pos) of the line occurrences that stay, blank lines aside: one of each component of similar lines."""
-    docs = docs.select("doc_id", "text")
+    """(doc_id, tag, pos) of the line occurrences that stay, blank lines aside: one of each component of similar lines.
+
+    tag is the text's 64-bit hash: rows of one doc_id and one text are one document, others are not. Null texts have no
+    lines; ties go to the smallest (doc_id, tag, pos), null doc_ids first.
+    """
+    docs = tagged(docs)
     keys = [f"k{i}" for i in range(BANDS)]
-    nodes = _occurrences(docs).groupBy("h1", "h2").agg(F.min(F.struct("doc_id", "pos")).alias("at"), *[F.min(k).alias(k) for k in keys])
+    nodes = _occurrences(docs).groupBy("h1", "h2").agg(F.min(F.struct("doc_id", "tag", "pos")).alias("at"), *[F.min(k).alias(k) for k in keys])
     nodes = materialise(nodes.select(F.col("h1").alias("id"), "at", *keys), "lines")
     bands = nodes.select("id", F.explode(F.array(*keys)).alias("key"))
     buckets = bands.groupBy("key").agg(F.min("id").alias("pivot"), F.max("id").alias("top"), F.count("*").alias("n")).where("pivot < top")
-    members = materialise(bands.join(buckets, "key").select("key", "id", "pivot", "n"), "lines-members")
-    wanted = members.select("id").distinct().join(nodes.select("id", F.col("at.doc_id").alias("doc_id"), F.col("at.pos").alias("pos")), "id")
+    members = materialise(join_by_key(bands, buckets, ["key"], BANDS * nodes.count()).select("key", "id", "pivot", "n"), "lines-members")
+    wanted = members.select("id").distinct().join(nodes.select("id", F.col("at.doc_id").alias("doc_id"), F.col("at.tag").alias("tag"), F.col("at.pos").alias("pos")), "id")
     texts = materialise(_texts(docs, wanted).dropDuplicates(["id"]), "lines-texts")
     # First pass: to the bucket's smallest.
     pairs = members.where("id <> pivot").select(F.col("pivot").alias("a"), F.col("id").alias("b")).distinct()
@@ -307,19 +317,19 @@ def keepers(docs: DataFrame) -> DataFrame:
     second = second.select(F.col("id").alias("label"), F.col("component").alias("joined"))
     roots = nodes.select("id", "at").join(first, "id", "left").select("at", "id", label)
     linked = roots.join(second, "label", "left").select("at", F.coalesce("joined", "label").alias("root"))
-    return linked.groupBy("root").agg(F.min("at").alias("at")).select("at.doc_id", "at.pos")
+    return linked.groupBy("root").agg(F.min("at").alias("at")).select("at.doc_id", "at.tag", "at.pos")
 
 
 def dedup(docs: DataFrame) -> DataFrame:
     """docs with only the lines that stay, in order, joined by line breaks; rows and columns as they are.
 
     A null text stays null; a text all of whose lines go becomes empty; blank lines stay where they are unless nothing
-    else is left. Rows that repeat a doc_id count as one document: each keeps the same lines. Ties go to the smaller
-    (doc_id, line number); null doc_ids come first.
+    else is left. Rows that repeat a doc_id with the same text count as one document: each keeps the same lines. Ties go
+    to the smaller (doc_id, hash of the text, line number); null doc_ids come first.
     """
-    stays = keepers(docs).groupBy("doc_id").agg(F.collect_list("pos").alias("pos"))
-    stays = stays.select(F.col("doc_id").alias("__doc"), F.col("pos").alias("__pos"))
-    joined = docs.join(stays, F.col("doc_id").eqNullSafe(F.col("__doc")), "left").drop("__doc")
+    stays = keepers(docs).groupBy("doc_id", "tag").agg(F.collect_list("pos").alias("pos"))
+    stays = stays.select(F.col("doc_id").alias("__doc"), F.col("tag").alias("__tag"), F.col("pos").alias("__pos"))
+    joined = docs.join(stays, F.col("doc_id").eqNullSafe(F.col("__doc")) & (F.xxhash64("text") == F.col("__tag")), "left").drop("__doc", "__tag")
 
     def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
@@ -336,10 +346,13 @@ def dedup(docs: DataFrame) -> DataFrame:
 
 
 def report(docs: DataFrame) -> DataFrame:
-    """One row a document: doc_id, n_lines (not blank), n_kept, kept (line numbers that stay, comma-joined)."""
-    stays = keepers(docs).groupBy("doc_id").agg(F.sort_array(F.collect_list("pos")).alias("kept"))
-    stays = stays.select(F.col("doc_id").alias("d"), F.size("kept").cast("long").alias("n_kept"), F.array_join("kept", ",").alias("kept"))
+    """One row a document: doc_id, n_lines (not blank), n_kept, kept (line numbers that stay, comma-joined).
+
+    Null and empty texts have none. Repeated rows, null doc_ids and ties are as in dedup(); other columns are ignored.
+    """
+    stays = keepers(docs).groupBy("doc_id", "tag").agg(F.sort_array(F.collect_list("pos")).alias("kept"))
+    stays = stays.select(F.col("doc_id").alias("d"), F.col("tag").alias("t"), F.size("kept").cast("long").alias("n_kept"), F.array_join("kept", ",").alias("kept"))
     lines = F.size(F.filter(F.split(F.coalesce("text", F.lit("")), "\n"), lambda x: x.rlike(r"(?U)\S"))).cast("long")
-    counted = docs.select("doc_id", lines.alias("n_lines"))
-    out = counted.join(stays, F.col("doc_id").eqNullSafe(F.col("d")), "left")
+    counted = docs.select("doc_id", F.xxhash64("text").alias("tag"), lines.alias("n_lines"))
+    out = counted.join(stays, F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("tag") == F.col("t")), "left")
     return out.select("doc_id", "n_lines", F.coalesce("n_kept", F.lit(0)).cast("long").alias("n_kept"), F.coalesce("kept", F.lit("")).alias("kept"))

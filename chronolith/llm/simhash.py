@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StructField, StructType
 
-from .common import materialise, partitions_for
+from .common import join_by_key, materialise, partitions_for
 from .components import connected_components
 
 BITS = 64
@@ -125,8 +125,8 @@ def link_components(fps: DataFrame, budget: int = 4) -> DataFrame:
     signed = [m - (1 << 64) if m >> 63 else m for m in masks]
     keyed = fps.select("fp", F.posexplode(F.array(*[F.col("fp").bitwiseAND(F.lit(m)) for m in signed])).alias("t", "key"))
     # First pass: to the smallest of the group.
-    least = keyed.groupBy("t", "key").agg(F.min("fp").alias("pivot"), F.max("fp").alias("top")).where("pivot < top")
-    near = keyed.join(least, ["t", "key"]).where((F.col("fp") != F.col("pivot")) & (F.bit_count(F.col("fp").bitwiseXOR(F.col("pivot"))) <= budget))
+    least = keyed.groupBy("t", "key").agg(F.min("fp").alias("pivot"), F.max("fp").alias("top"), F.count("*").alias("n")).where("pivot < top")
+    near = join_by_key(keyed, least, ["t", "key"], n * len(masks)).where((F.col("fp") != F.col("pivot")) & (F.bit_count(F.col("fp").bitwiseXOR(F.col("pivot"))) <= budget))
     first = materialise(connected_components(near.select("fp", "pivot"), "fp", "pivot"), "simhash-first")
     labelled = fps.select("fp").join(first.select(F.col("id").alias("fp"), "component"), "fp", "left")
     labelled = materialise(labelled.select("fp", F.coalesce("component", "fp").alias("label")), "simhash-labelled")
@@ -134,7 +134,7 @@ def link_components(fps: DataFrame, budget: int = 4) -> DataFrame:
     keyed = labelled.select("fp", "label", F.posexplode(F.array(*[F.col("fp").bitwiseAND(F.lit(m)) for m in signed])).alias("t", "key"))
     mixed = keyed.groupBy("t", "key").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.count("*").alias("n")).where("lo < hi")
     cuts = F.ceil(F.col("n") / GROUP_ROWS).cast("int")
-    members = keyed.join(mixed.select("t", "key", cuts.alias("cuts")), ["t", "key"])
+    members = join_by_key(keyed, mixed.select("t", "key", "n", cuts.alias("cuts")), ["t", "key"], n * len(masks))
     members = members.withColumn("own", F.pmod(F.xxhash64("fp"), F.col("cuts")).cast("int"))
     members = members.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("cuts") - 1)))
     members = members.select(F.xxhash64("t", "key", F.least("own", "other"), F.greatest("own", "other")).alias("grp"), "t", "key", F.least("own", "other").alias("p"), F.greatest("own", "other").alias("q"), "fp", "label")
@@ -176,15 +176,20 @@ def near_duplicates(docs: DataFrame, budget: int = 4, size: int = 4) -> DataFram
     null doc_id gets a row and never names a component unless the component has no other. Other columns are ignored.
     """
     fps = materialise(fingerprints(docs, size), "simhash-fps")
-    reps = materialise(fps.groupBy("fp").agg(F.min("doc_id").alias("rep")), "simhash-reps")
+    reps = materialise(fps.groupBy("fp").agg(F.min("doc_id").alias("rep"), F.count("*").alias("n")), "simhash-reps")
     roots = materialise(link_components(reps.select("fp"), budget).join(reps, "fp"), "simhash-roots")
-    named = roots.join(roots.groupBy("root").agg(F.min("rep").alias("component_id")), "root").select("fp", "component_id")
+    classes = roots.groupBy("root").agg(F.min("rep").alias("component_id"), F.sum(F.lit(1)).alias("k"))
+    named = join_by_key(roots.select("fp", "root", F.col("n").alias("rows")), classes.withColumnRenamed("k", "n"), ["root"], roots.count())
+    named = named.select("fp", "component_id", F.col("rows").alias("n"))
     hexed = F.lower(F.lpad(F.hex("fp"), 16, "0"))
-    return fps.join(named, "fp").select("doc_id", hexed.alias("fingerprint"), "component_id")
+    return join_by_key(fps, named, ["fp"], fps.count()).select("doc_id", hexed.alias("fingerprint"), "component_id")
 
 
 def keep_one(docs: DataFrame, budget: int = 4, size: int = 4) -> DataFrame:
-    """docs with one row of each component: the one with the smallest doc_id (nulls last), any one if that is repeated; columns as they are."""
+    """docs with one row of each component: the one with the smallest doc_id (nulls last), any one if that is repeated; columns as they are.
+
+    Null, empty and blank texts are one group; rows without a doc_id are judged by their texts like any other.
+    """
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:

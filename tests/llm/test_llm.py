@@ -11,8 +11,9 @@ import pandas as pd
 import public_tokenizers
 import pytest
 import xxhash
+from pyspark.sql import functions as F
 
-from chronolith.llm import components, decontaminate, html_extract, langid, lattice, licenses, line_dedup, packing, queries, secret_scan, simhash, toxicity
+from chronolith.llm import common, components, decontaminate, html_extract, langid, lattice, licenses, line_dedup, packing, queries, secret_scan, simhash, toxicity
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long"
 ODD = [None, "", " ", "\n\n\t", "a", "Ü", "word " * 30_000, "x" * 200_000, "Same line\nSame line\nsame  LINE", "😀 \U0001f600", "1234 5678"]
@@ -519,6 +520,26 @@ def test_line_dedup_edges(spark, monkeypatch):
     assert twice == 0
 
 
+def test_line_dedup_of_rows_without_a_usable_id(spark):
+    a, b, c = ("the first line of some length here", "another line that is not like it", "and now a third one, which differs")
+    rows = [(None, f"{a}\n{b}"), (None, f"{c}\n{a}"), (7, f"{b}\nall its own words 1234"), (7, f"{c}\nsomething else 98765"), (7, f"{c}\nsomething else 98765"), (None, None)]
+    docs = spark.createDataFrame([(d, t, "en", "s", 1) for d, t in rows], DOCS)
+    out = line_dedup.dedup(docs).collect()
+    assert len(out) == len(rows)
+    texts = [r.text for r in out if r.text is not None]
+    lines = [x for t in texts for x in t.split("\n") if x]
+    assert sorted(set(lines)) == sorted([a, b, c, "all its own words 1234", "something else 98765"])
+    assert sorted(lines) == sorted([a, b, c, "all its own words 1234", *["something else 98765"] * 2])  # the repeated row keeps its lines twice
+
+
+def test_join_by_key(spark):
+    rows = spark.range(3000).selectExpr("case when id < 2000 then 1 when id < 2900 then id else null end as k", "id")
+    stats = rows.groupBy("k").agg(F.count("*").alias("n"), F.max("id").alias("top"))
+    got = common.join_by_key(rows, stats, ["k"], 3000, 10)
+    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, rows.join(stats, "k").select(*got.columns).collect()))
+    assert got.count() == 2900
+
+
 # 6
 
 
