@@ -41,9 +41,12 @@ def join_by_key(rows: DataFrame, stats: DataFrame, keys: list[str], n_rows: int,
 
     Keys with over n_rows / most rows are broadcast, of which there are fewer than most, so that no hot key is one task's.
     """
+    stats = materialise(stats, "keys")
     limit = max(128, n_rows // most)
     hot = F.broadcast(stats.where(F.col("n") > limit))
-    cold = rows.join(F.broadcast(stats.where(F.col("n") > limit).select(keys)), keys, "left_anti").join(stats.where(F.col("n") <= limit), keys)
+    if hot.isEmpty():
+        return rows.join(stats, keys)
+    cold = rows.join(hot.select(keys), keys, "left_anti").join(stats.where(F.col("n") <= limit), keys)
     return rows.join(hot, keys).unionByName(cold)
 
 

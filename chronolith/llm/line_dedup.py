@@ -307,10 +307,11 @@ def keepers(docs: DataFrame) -> DataFrame:
     first = materialise(connected_components(pairs.join(x, "a").join(y, "b").select("a", "b", "x", "y").mapInPandas(_linked, "a long, b long"), "a", "b"), "lines-first")
     # Second pass: buckets of three or more with several components, in blocks.
     label = F.coalesce("component", "id").alias("label")
-    named = members.where("n > 2").select("key", "id", "n").join(first, "id", "left").select("key", "id", "n", label)
-    mixed = named.groupBy("key").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo < hi").select("key")
+    crowded = members.where("n > 2").select("key", "id")
+    named = crowded.join(first, "id", "left").select("key", "id", label)
+    mixed = named.groupBy("key").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.count("*").alias("n")).where("lo < hi").select("key", "n")
     cuts = F.ceil(F.col("n") / BLOCK).cast("int")
-    blocks = named.join(mixed, "key").withColumn("own", F.pmod(F.xxhash64("id"), cuts).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), cuts - 1)))
+    blocks = join_by_key(named, mixed, ["key"], crowded.count()).withColumn("own", F.pmod(F.xxhash64("id"), cuts).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), cuts - 1)))
     blocks = blocks.select("id", "label", F.xxhash64("key", F.least("own", "other"), F.greatest("own", "other")).alias("grp")).join(texts, "id")
     blocks = blocks.repartition("grp").sortWithinPartitions("grp")
     second = connected_components(blocks.select("grp", "id", "label", "line", "size", *WORDS).mapInPandas(_linked_in_blocks, "a long, b long"), "a", "b")
