@@ -2,31 +2,64 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
-def percentile(value: Column, p: float) -> Column:
-    """Nearest-rank percentile of the non-null values: the sorted value at round-half-up(p/100 * (n - 1)); p is clamped to 0..100.
+# grouped() looks for a percentile between sketched bounds this far below and above it; groups up to SMALL are looked
+# through as a whole. The sketch's error and one rank stay below MARGIN for any larger group.
+ACCURACY, SMALL, MARGIN = 10_000, 10_000, 5e-4
 
-    A group's values meet in one task; percentile_by_rank() is for groups that are too large for that.
+
+def same_keys(left: DataFrame, right: DataFrame, keys: list[str], how: str = "inner") -> DataFrame:
+    """left joined with right by keys, null keys being equal; right's other columns follow left's."""
+    named = right.select(*[F.col(k).alias(f"__{k}") for k in keys], *[c for c in right.columns if c not in keys])
+    match = F.lit(True)
+    for k in keys:
+        match = match & F.col(k).eqNullSafe(F.col(f"__{k}"))
+    return left.join(named, match, how).drop(*[f"__{k}" for k in keys])
+
+
+def grouped(df: DataFrame, keys: list[str], aggs: dict[str, Column], ranks: dict[str, tuple[str, float]]) -> DataFrame:
+    """One row a group: keys, aggs, and by name the nearest-rank percentiles ranks = {name: (column, p)}.
+
+    A percentile is the sorted non-null value at round-half-up(p/100 * (n - 1)), p clamped to 0..100, null if there is
+    none. A first pass sketches bounds around each, which share partial aggregates; a second one counts what lies below
+    and the distinct values between them, so that no group's values meet in one row or, for large groups, in one task.
     """
-    p = min(max(p, 0.0), 100.0) / 100
-    n = F.count(value)
-    rank = F.floor(F.lit(p) * (n - 1) + 0.5).cast("int")
-    return F.get(F.sort_array(F.collect_list(value)), rank)
+    if not ranks:
+        return df.groupBy(*keys).agg(*[c.alias(n) for n, c in aggs.items()])
+    names, q = list(ranks), {n: min(max(p, 0.0), 100.0) / 100 for n, (_, p) in ranks.items()}
+    columns = sorted({v for v, _ in ranks.values()})
+    sketches = []
+    for v in columns:
+        cuts = [x for n in names if ranks[n][0] == v for x in (max(0.0, q[n] - MARGIN), min(1.0, q[n] + MARGIN))]
+        sketches += [F.count(v).alias(f"__n_{v}"), F.min(v).alias(f"__lo_{v}"), F.max(v).alias(f"__hi_{v}"), F.percentile_approx(v, cuts, ACCURACY).alias(f"__cuts_{v}")]
+    base = df.groupBy(*keys).agg(*sketches, F.struct(F.lit(True).alias("__some"), *[c.alias(n) for n, c in aggs.items()]).alias("__aggs"))
+    bounds = []
+    for i, n in enumerate(names):
+        v, at = ranks[n][0], 2 * [m for m in names if ranks[m][0] == ranks[n][0]].index(n)
+        few = F.col(f"__n_{v}") <= SMALL
+        low = F.when(few, F.col(f"__lo_{v}")).otherwise(F.get(f"__cuts_{v}", F.lit(at)))
+        high = F.when(few, F.col(f"__hi_{v}")).otherwise(F.get(f"__cuts_{v}", F.lit(at + 1)))
+        rank = F.floor(F.lit(q[n]) * (F.col(f"__n_{v}") - 1) + 0.5) + 1
+        bounds.append((v, F.struct(F.lit(i).alias("i"), low.cast("double").alias("low"), high.cast("double").alias("high"), rank.alias("rank"))))
+    found = same_keys(df.select(*keys, *columns), base.select(*keys, F.struct(*[b.alias(f"b{i}") for i, (_, b) in enumerate(bounds)]).alias("__b")), keys)
+    one = lambda v, b: F.struct(b["i"].alias("i"), b["rank"].alias("rank"), (F.col(v) > b["high"]).alias("over"), F.when(F.col(v) >= b["low"], F.col(v)).cast("double").alias("v"), F.col(v).isNull().alias("none"))
+    found = found.select(*keys, F.inline(F.array(*[one(v, F.col("__b")[f"b{i}"]) for i, (v, _) in enumerate(bounds)]))).where("not over and not none")
+    # A null v stands for all values below the bounds; it comes first.
+    counts = found.groupBy(*keys, "i", "rank", "v").agg(F.count("*").alias("c"))
+    upto = F.sum("c").over(Window.partitionBy(*keys, "i").orderBy(F.asc_nulls_first("v")))
+    picks = counts.withColumn("upto", upto).where((F.col("upto") >= F.col("rank")) & (F.col("upto") - F.col("c") < F.col("rank"))).select(*keys, "i", "v")
+    shape = base.schema["__aggs"].dataType
+    rows = picks.withColumn("__aggs", F.lit(None).cast(shape)).unionByName(base.select(*keys, F.lit(None).cast("int").alias("i"), F.lit(None).cast("double").alias("v"), "__aggs"))
+    out = rows.groupBy(*keys).agg(F.any_value("__aggs", True).alias("__aggs"), *[F.max(F.when(F.col("i") == i, F.col("v"))).alias(f"__p{i}") for i in range(len(names))])
+    return out.select(*keys, *[F.col("__aggs")[n].alias(n) for n in aggs], *[F.col(f"__p{i}").cast(df.schema[ranks[n][0]].dataType).alias(n) for i, n in enumerate(names)])
 
 
 def percentile_by_rank(df: DataFrame, keys: list[str], value: str, p: float, name: str) -> DataFrame:
-    """percentile() for groups too large for one task: cumulative counts over distinct values, pre-aggregated before the window."""
-    from pyspark.sql import Window
-
-    p = min(max(p, 0.0), 100.0) / 100
-    counts = df.where(F.col(value).isNotNull()).groupBy(*keys, value).agg(F.count("*").alias("c"))
-    w = Window.partitionBy(*keys)
-    ranked = counts.withColumn("upto", F.sum("c").over(w.orderBy(value))).withColumn("n", F.sum("c").over(w))
-    at = F.floor(F.lit(p) * (F.col("n") - 1) + 0.5) + 1
-    return ranked.where((F.col("upto") >= at) & (F.col("upto") - F.col("c") < at)).select(*keys, F.col(value).alias(name))
+    """One nearest-rank percentile of each group."""
+    return grouped(df, keys, {}, {name: (value, p)})
 
 
 def first(value: Column, ts: Column) -> Column:
@@ -67,7 +100,7 @@ def linear_regression(y: Column, x: Column) -> tuple[Column, Column]:
     return F.when(ok, F.regr_slope(y, x)), F.when(ok, F.regr_intercept(y, x))
 
 
-# Aggregates of a value in time order, by name; with aliases (fixed names).
+# Aggregates of a value in time order, by name; percentiles; aliases (fixed names).
 BY_NAME = {
     "count": lambda v, t: F.count(v),
     "sum": lambda v, t: F.sum(v),
@@ -76,25 +109,39 @@ BY_NAME = {
     "max": lambda v, t: F.max(v),
     "first": first,
     "last": last,
-    "median": lambda v, t: percentile(v, 50),
-    "p50": lambda v, t: percentile(v, 50),
-    "p95": lambda v, t: percentile(v, 95),
-    "p99": lambda v, t: percentile(v, 99),
-    "p999": lambda v, t: percentile(v, 99.9),
     "stddev": lambda v, t: stddev(v),
     "variance": lambda v, t: variance(v),
     "rate": rate,
     "delta": delta,
 }
+PERCENTILES = {"median": 50.0, "p50": 50.0, "p95": 95.0, "p99": 99.0, "p999": 99.9}
 ALIASES = {"avg": "mean", "average": "mean", "std_dev": "stddev", "var": "variance"}
 
 
-def named(name: str, value: str, ts: str) -> Column:
-    name = ALIASES.get(name.lower(), name.lower())
-    if name not in BY_NAME:
-        raise ValueError(f"no aggregate {name!r}")
-    return BY_NAME[name](F.col(value), F.col(ts))
+def named(df: DataFrame, keys: list[str], wanted: dict[str, tuple[str, str]], ts: str) -> DataFrame:
+    """One row a group with wanted = {alias: (aggregate's name, column)}, in that order."""
+    aggs, ranks = {}, {}
+    for alias, (name, value) in wanted.items():
+        name = ALIASES.get(name.lower(), name.lower())
+        if name in PERCENTILES:
+            ranks[alias] = (value, PERCENTILES[name])
+        elif name in BY_NAME:
+            aggs[alias] = BY_NAME[name](F.col(value), F.col(ts) if ts else None)
+        else:
+            raise ValueError(f"no aggregate {name!r}")
+    return grouped(df, keys, aggs, ranks).select(*keys, *wanted)
+
+
+# Functions of series, detectors and forecasts by name, with what they give (fixed names).
+SERIES = {
+    "rate": "change a second", "delta": "change since the row before", "moving_avg": "mean of the last k rows", "ema": "exponential moving average", "moving_stddev": "deviation of the last k rows",
+    "forward_fill": "last value that is not null", "interpolate": "straight line over nulls", "zscore": "distance from the mean in deviations", "anomaly_score": "z-score of the last k rows over a threshold",
+    "bucket": "start of the time bucket", "trend": "direction of the mean step", "linear_regression": "slope and intercept", "correlation": "Pearson's correlation", "covariance": "sample covariance",
+    "fill": "a row for every bucket", "percentile": "nearest-rank percentile", "holt_winters": "seasonal forecast", "forecast": "forecast by a model", "anomaly": "detectors' scores",
+}
 
 
 def list_functions(spark) -> DataFrame:
-    return spark.createDataFrame([(k,) for k in sorted([*BY_NAME, *ALIASES])], "name string")
+    """(name, kind) of all aggregates and their aliases, and (name, what it gives) of the other functions."""
+    rows = [(k, "aggregate") for k in (*BY_NAME, *PERCENTILES)] + [(k, f"aggregate, {v}") for k, v in ALIASES.items()]
+    return spark.createDataFrame(sorted({**dict(rows), **SERIES}.items()), "name string, description string")

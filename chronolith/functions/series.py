@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import itertools
+from collections.abc import Iterator
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -56,23 +60,37 @@ def anomaly_score(v: Column, w, keys: list[str], k: int, threshold: float) -> Co
 
 
 def ema(df: DataFrame, keys: list[str], order: list[str], value: str, alpha: float, name: str = "ema") -> DataFrame:
-    """df with the exponential moving average e = alpha * v + (1 - alpha) * e of each series: a recursion, so one series is one group."""
+    """df with the exponential moving average e = alpha * v + (1 - alpha) * e of each series; a null v leaves e as it is.
+
+    A recursion, so a series is worked off in order in one task: partitions hold many sorted series, which stream by.
+    """
     alpha = min(max(alpha, 0.0), 1.0)
 
-    def run(pdf):
-        pdf = pdf.sort_values(order)
-        v = pdf[value]
-        pdf[name] = v.ewm(alpha=alpha, adjust=False).mean() if alpha > 0 else v.iloc[0]
-        return pdf
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        level, last = None, None
+        for b in batches:
+            out = []
+            series = zip(*[b[k].astype(object).where(b[k].notna(), None) for k in keys], strict=True) if keys else itertools.repeat(())
+            for key, v in zip(series, b[value].astype(float).tolist(), strict=False):
+                if key != last:
+                    level, last = None, key
+                if v == v:
+                    level = v if level is None else alpha * v + (1 - alpha) * level
+                out.append(level)
+            yield b.assign(**{name: pd.array(out, dtype="Float64")})
 
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema) + f", `{name}` double"
-    return df.groupBy(*keys).applyInPandas(run, schema)
+    rows = df.repartition(*keys).sortWithinPartitions(*keys, *order) if keys else df.repartition(1).sortWithinPartitions(*order)
+    return rows.mapInPandas(run, schema)
 
 
-def bucketed(df: DataFrame, ts: str, width: str, keys: list[str], **aggs: Column) -> DataFrame:
-    """Aggregates by tumbling bucket (and keys); the bucket is the start of its window."""
+def bucketed(df: DataFrame, ts: str, width: str, keys: list[str], ranks: dict[str, tuple[str, float]] | None = None, **aggs: Column) -> DataFrame:
+    """Aggregates, and percentiles ranks = {name: (column, p)}, by tumbling bucket (and keys); the bucket is the start of its window."""
+    from .aggregates import grouped
     from .durations import interval
 
+    if ranks:
+        return grouped(df.withColumn("bucket", F.window(ts, interval(width))["start"]), ["bucket", *keys], aggs, ranks)
     out = df.groupBy(F.window(ts, interval(width)), *keys).agg(*[c.alias(n) for n, c in aggs.items()])
     return out.select(F.col("window.start").alias("bucket"), *keys, *aggs)
 
@@ -85,9 +103,6 @@ def spine(df: DataFrame, bucket: str, width: str, keys: tuple[str, ...] = ()) ->
     out = ends.select(*keys, F.explode(F.sequence("__a", "__b", F.expr(f"interval {interval(width)}"))).alias(bucket))
     if not keys:
         return out.join(df, bucket, "left")
-    on = [*keys, bucket]
-    same = df.select(*[F.col(k).alias(f"__{k}") for k in on], *[c for c in df.columns if c not in on])
-    match = F.lit(True)
-    for k in on:
-        match = match & F.col(k).eqNullSafe(F.col(f"__{k}"))
-    return out.join(same, match, "left").select(*df.columns)
+    from .aggregates import same_keys
+
+    return same_keys(out, df, [*keys, bucket], "left").select(*df.columns)

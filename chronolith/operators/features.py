@@ -16,13 +16,12 @@ def statistical(df: DataFrame, keys: list[str], value: str) -> DataFrame:
     Skewness and kurtosis take population moments over the sample deviation; entropy is that of |x| / sum |x| in bits.
     """
     v = F.col(value)
-    q = {n: A.percentile(v, p) for n, p in (("median", 50), ("q1", 25), ("q3", 75))}
     n = F.count(v)
-    s = df.groupBy(*keys).agg(
-        n.alias("n"), F.avg(v).alias("mean"), *[c.alias(k) for k, c in q.items()], A.stddev(v).alias("std"), A.variance(v).alias("var"), F.min(v).alias("min"), F.max(v).alias("max"),
-        F.sum(v * v).alias("energy"), F.skewness(v).alias("sk"), F.kurtosis(v).alias("ku"), F.sum(F.abs(v)).alias("total"),
-        F.sum(F.when(F.abs(v) > 0, F.abs(v) * F.log2(F.abs(v)))).alias("xlogx"),
-    )
+    aggs = {
+        "n": n, "mean": F.avg(v), "std": A.stddev(v), "var": A.variance(v), "min": F.min(v), "max": F.max(v), "energy": F.sum(v * v), "sk": F.skewness(v), "ku": F.kurtosis(v),
+        "total": F.sum(F.abs(v)), "xlogx": F.sum(F.when(F.abs(v) > 0, F.abs(v) * F.log2(F.abs(v)))),
+    }
+    s = A.grouped(df, keys, aggs, {"median": (value, 50), "q1": (value, 25), "q3": (value, 75)})
     f = (F.col("n") - 1) / F.col("n")
     flat = F.col("std") < 1e-10
     return s.select(
@@ -35,7 +34,10 @@ def statistical(df: DataFrame, keys: list[str], value: str) -> DataFrame:
 
 
 def temporal(df: DataFrame, keys: list[str], order: list[str], value: str) -> DataFrame:
-    """Zero and mean crossings, lag-1 autocorrelation, peaks, troughs, change points and stationarity of each series."""
+    """Zero and mean crossings, lag-1 autocorrelation, peaks, troughs, change points and stationarity of each series.
+
+    A change point turns by more than 2 * sqrt(sum (x - m)^2) / n.
+    """
     w, whole = Window.partitionBy(*keys).orderBy(*order), Window.partitionBy(*keys)
     v = F.col(value)
     x = df.select(*keys, v.alias("v"), F.lag(v).over(w).alias("p"), F.lag(v, 2).over(w).alias("pp"), F.lead(v).over(w).alias("nx"), F.avg(v).over(whole).alias("m"), F.stddev_pop(v).over(whole).alias("sd"), F.row_number().over(w).alias("i"), F.count(v).over(whole).alias("n"))
@@ -50,7 +52,7 @@ def temporal(df: DataFrame, keys: list[str], order: list[str], value: str) -> Da
         F.when((F.count("*") <= 1) | (c0 / F.count("*") < 1e-10), 0.0).otherwise(F.sum((F.col("v") - F.col("m")) * (F.col("p") - F.col("m"))) / F.when(c0 > 0, c0).otherwise(1.0)).alias("autocorrelation"),
         one((F.col("v") > F.col("p")) & (F.col("v") > F.col("nx"))).alias("peaks"),
         one((F.col("v") < F.col("p")) & (F.col("v") < F.col("nx"))).alias("troughs"),
-        one((d * dp < 0) & (F.abs(d) > 2 * F.col("sd"))).alias("change_points"),
+        one((d * dp < 0) & (F.abs(d) > 2 * F.col("sd") / F.sqrt("n"))).alias("change_points"),
         F.when(F.count("*") < 4, 1.0).when(F.greatest(v1, v2) > 0, F.least(v1, v2) / F.when(F.greatest(v1, v2) > 0, F.greatest(v1, v2)).otherwise(1.0)).otherwise(0.0).alias("stationarity"),
     )
 
@@ -66,7 +68,7 @@ def trend(df: DataFrame, keys: list[str], order: list[str], value: str) -> DataF
 
 
 def spectral(df: DataFrame, keys: list[str], order: list[str], value: str) -> DataFrame:
-    """Dominant frequency, centroid, 85 % rolloff, entropy and energy of the magnitudes of each series' Fourier transform."""
+    """Dominant frequency, centroid, 85 % rolloff, entropy (of the magnitudes) and energy of each series' Fourier transform."""
     schema = ", ".join(f"`{k}` {df.schema[k].dataType.simpleString()}" for k in keys) + ", dominant double, centroid double, rolloff double, entropy double, energy double"
 
     def run(key, pdf):
@@ -77,8 +79,34 @@ def spectral(df: DataFrame, keys: list[str], order: list[str], value: str) -> Da
         total = e.sum()
         if not total:
             return pd.DataFrame([(*key, 0.0, 0.0, 0.0, 0.0, 0.0)], columns=[*keys, "dominant", "centroid", "rolloff", "entropy", "energy"])
-        p = e[e > 0] / total
+        p = mag[mag > 0] / mag.sum()
         top = f[len(mag) - 1 - int(np.argmax(mag[::-1]))]
         return pd.DataFrame([(*key, top, (f * e).sum() / total, f[int(np.argmax(np.cumsum(e) >= 0.85 * total))], -(p * np.log2(p)).sum(), total)], columns=[*keys, "dominant", "centroid", "rolloff", "entropy", "energy"])
 
     return df.groupBy(*keys).applyInPandas(run, schema)
+
+
+# The vector's groups, each with its columns in order (fixed order); the strengths are constants of the method.
+GROUPS = {
+    "statistical": ["mean", "median", "std", "var", "min", "max", "range", "q1", "q3", "iqr", "skewness", "kurtosis", "entropy", "cv", "energy"],
+    "temporal": ["zero_crossings", "mean_crossings", "autocorrelation", "peaks", "troughs", "stationarity", "trend_strength", "seasonality_strength"],
+    "trend": ["slope", "intercept", "residual_var", "direction", "change_points"],
+    "spectral": ["dominant", "centroid", "rolloff", "spectral_entropy", "spectral_energy"],
+}
+STRENGTHS = {"trend_strength": 0.5, "seasonality_strength": 0.3}
+
+
+def vector(df: DataFrame, keys: list[str], order: list[str], value: str, include: tuple[str, ...] = tuple(GROUPS)) -> DataFrame:
+    """keys and features, 33 doubles a series in a fixed order; a group that is not included is zeros."""
+    out = df.select(*keys).distinct()
+    if "statistical" in include:
+        out = A.same_keys(out, statistical(df, keys, value), keys, "left")
+    if {"temporal", "trend"} & set(include):
+        some = temporal(df, keys, order, value)
+        out = A.same_keys(out, some.select(*keys, *[F.lit(x).alias(n) for n, x in STRENGTHS.items()], *[c for c in some.columns if c not in keys]), keys, "left")
+    if "trend" in include:
+        out = A.same_keys(out, trend(df, keys, order, value), keys, "left")
+    if "spectral" in include:
+        out = A.same_keys(out, spectral(df, keys, order, value).withColumnsRenamed({"entropy": "spectral_entropy", "energy": "spectral_energy"}), keys, "left")
+    parts = [F.coalesce(F.col(c).cast("double"), F.lit(0.0)) if g in include else F.lit(0.0) for g, names in GROUPS.items() for c in names]
+    return out.select(*keys, F.array(*parts).alias("features"))

@@ -5,7 +5,7 @@ Bounds of step i (from 0) are prediction -/+ z * se * sqrt(1 + widening * i).
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 Z = {0.9: 1.645, 0.95: 1.96, 0.99: 2.576}  # fixed values
@@ -55,7 +55,7 @@ def holt_winters(df: DataFrame, keys, order, value, alpha=0.3, beta=0.1, gamma=0
         if len(x) < 2 * m:
             return pd.DataFrame(columns=names)
         level, slope = x[:m].mean(), (x[m] - x[0]) / m
-        season = np.array([x[i : len(x) // m * m : m].sum() / (len(x) // m) for i in range(m)]) - x.mean()
+        season = np.array([x[i::m].sum() / (len(x) // m) for i in range(m)]) - x.mean()  # whole seasons count, a begun one adds
         for i in range(1, len(x)):
             before, s = level, season[i % m]
             level = alpha * (x[i] - s) + (1 - alpha) * (level + slope)
@@ -68,25 +68,43 @@ def holt_winters(df: DataFrame, keys, order, value, alpha=0.3, beta=0.1, gamma=0
     return out.withColumn("lower", F.col("prediction") - width).withColumn("upper", F.col("prediction") + width)
 
 
+def _ends(df: DataFrame, keys, order, value) -> DataFrame:
+    """One row a series: n, first and last value in time order, ties by value; aggregates only."""
+    at, v = F.struct(order, value), F.col(value).cast("double")
+    return df.groupBy(*keys).agg(F.count("*").alias("n"), F.min_by(v, at).alias("first"), F.max_by(v, at).alias("last"))
+
+
 def moving_average(df: DataFrame, keys, order, value, weights=(1.0, 2.0, 3.0), h=3, confidence=0.95) -> DataFrame:
-    """Weighted mean of the last len(weights) values; shorter series give no rows."""
+    """Weighted mean of the last len(weights) values; shorter series give no rows. Only those values are shuffled."""
     k = len(weights)
-    xs = _series(df, keys, order, value).where(F.size("xs") >= k)
-    ws = F.array(*[F.lit(float(w)) for w in weights])
-    mean = F.aggregate(F.zip_with(F.slice("xs", -k, k), ws, lambda x, w: x * w), F.lit(0.0), lambda a, x: a + x) / float(sum(weights))
-    return _steps(xs.withColumn("m", mean), keys, h, F.col("m"), F.lit(0.1), confidence, 0.05)
+    back = F.row_number().over(Window.partitionBy(*keys).orderBy(F.desc(order), F.desc(value)))
+    rows = df.select(*keys, order, F.col(value).cast("double").alias(value)).withColumn("__back", back).where(F.col("__back") <= k)
+    weight = F.get(F.array(*[F.lit(float(w)) for w in weights]), k - F.col("__back"))
+    means = rows.groupBy(*keys).agg(F.count("*").alias("__n"), (F.sum(F.col(value) * weight) / float(sum(weights))).alias("__m")).where(F.col("__n") == k)
+    return _steps(means, keys, h, F.col("__m"), F.lit(0.1), confidence, 0.05)
 
 
 def naive(df: DataFrame, keys, order, value, h=3, confidence=0.95) -> DataFrame:
     """The last value; the standard error is the sum of absolute steps over the count."""
-    xs = _series(df, keys, order, value)
-    steps = F.zip_with(F.slice("xs", 2, F.greatest(F.size("xs") - 1, F.lit(0))), F.slice("xs", 1, F.greatest(F.size("xs") - 1, F.lit(0))), lambda a, b: F.abs(a - b))
-    xs = xs.withColumn("se", F.aggregate(steps, F.lit(0.0), lambda a, x: a + x) / F.size("xs"))
-    return _steps(xs, keys, h, F.element_at("xs", -1), F.col("se"), confidence, 0.1)
+    before = F.lag(F.col(value).cast("double")).over(Window.partitionBy(*keys).orderBy(order, value))
+    rows = df.select(*keys, order, F.col(value).cast("double").alias(value)).withColumn("__step", F.abs(F.col(value) - before))
+    at = F.struct(order, value)
+    ends = rows.groupBy(*keys).agg(F.max_by(value, at).alias("__last"), (F.coalesce(F.sum("__step"), F.lit(0.0)) / F.count("*")).alias("__se"))
+    return _steps(ends, keys, h, F.col("__last"), F.col("__se"), confidence, 0.1)
 
 
-def drift(df: DataFrame, keys, order, value, h=3) -> DataFrame:
+def drift(df: DataFrame, keys, order, value, h=3, confidence=0.95) -> DataFrame:
     """The last value plus the mean step."""
-    xs = _series(df, keys, order, value)
-    slope = F.when(F.size("xs") > 1, (F.element_at("xs", -1) - F.get("xs", F.lit(0))) / (F.size("xs") - 1)).otherwise(0.0)
-    return _steps(xs.withColumn("d", slope), keys, h, F.element_at("xs", -1) + F.col("step") * F.col("d"), F.lit(0.0), 0.95, 0.1)
+    slope = F.when(F.col("n") > 1, (F.col("last") - F.col("first")) / (F.col("n") - 1)).otherwise(0.0)
+    return _steps(_ends(df, keys, order, value), keys, h, F.col("last") + F.col("step") * slope, F.lit(0.0), confidence, 0.1)
+
+
+MODELS = {"ses": ses, "holt": holt, "holt_winters": holt_winters, "moving_average": moving_average, "naive": naive, "drift": drift}
+
+
+def forecast(df: DataFrame, keys, order, value, model: str = "ses", h: int = 3, confidence: float = 0.95, **options) -> DataFrame:
+    """Any model's forecast in long form: keys, step, prediction, lower, upper, confidence, model."""
+    if model not in MODELS:
+        raise ValueError(f"no model {model!r}")
+    out = MODELS[model](df, keys, order, value, h=h, confidence=confidence, **options)
+    return out.select(*keys, F.col("step").cast("int").alias("step"), "prediction", "lower", "upper", F.lit(confidence).alias("confidence"), F.lit(model).alias("model"))

@@ -15,7 +15,7 @@ from ..functions.durations import interval
 class Query:
     df: DataFrame
     ts: str | None = None
-    aggs: tuple[Column, ...] = ()
+    aggs: tuple[tuple[str, str, str], ...] = ()  # alias, aggregate, column
     keys: tuple[str, ...] = ()
     width: str | None = None
 
@@ -39,7 +39,7 @@ class Query:
         return replace(self, keys=keys, width=every)
 
     def aggregate(self, name: str, value: str, alias: str) -> Query:
-        return replace(self, aggs=(*self.aggs, aggregates.named(name, value, self.ts).alias(alias)))
+        return replace(self, aggs=(*self.aggs, (alias, name, value)))
 
     def order_by(self, *columns) -> Query:
         return Query(self.build().orderBy(*columns), self.ts)
@@ -56,6 +56,7 @@ class Query:
     def build(self) -> DataFrame:
         if not self.aggs:
             return self.df
-        window = [F.window(self.ts, interval(self.width)).alias("_w")] if self.width else []
-        out = self.df.groupBy(*window, *self.keys).agg(*self.aggs)
-        return out.withColumn("bucket", F.col("_w.start")).drop("_w") if window else out
+        df, keys = self.df, [*self.keys]
+        if self.width:
+            df, keys = df.withColumn("bucket", F.window(self.ts, interval(self.width))["start"]), [*keys, "bucket"]
+        return aggregates.named(df, keys, {alias: (name, value) for alias, name, value in self.aggs}, self.ts)

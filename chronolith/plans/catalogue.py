@@ -101,8 +101,8 @@ def rank_sql(p: float) -> str:
     return f"list_sort(list(value))[1 + cast(floor({p / 100} * (count(value) - 1) + 0.5) AS INT)]"
 
 
-simple("agg_median_nearest", "events", lambda e: e.groupBy("user_id").agg(A.percentile(F.col("value"), 50).alias("median")), f"SELECT user_id, {rank_sql(50)} AS median FROM events GROUP BY 1")
-simple("agg_percentiles", "events", lambda e: e.groupBy("event_type").agg(*[A.percentile(F.col("value"), p).alias(n) for n, p in (("p50", 50), ("p95", 95), ("p99", 99), ("p999", 99.9))]), f"SELECT event_type, {rank_sql(50)} AS p50, {rank_sql(95)} AS p95, {rank_sql(99)} AS p99, {rank_sql(99.9)} AS p999 FROM events GROUP BY 1")
+simple("agg_median_nearest", "events", lambda e: A.grouped(e, BY_USER, {}, {"median": ("value", 50)}), f"SELECT user_id, {rank_sql(50)} AS median FROM events GROUP BY 1")
+simple("agg_percentiles", "events", lambda e: A.named(e, ["event_type"], {n: (n, "value") for n in ("p50", "p95", "p99", "p999")}, "ts"), f"SELECT event_type, {rank_sql(50)} AS p50, {rank_sql(95)} AS p95, {rank_sql(99)} AS p99, {rank_sql(99.9)} AS p999 FROM events GROUP BY 1")
 simple("agg_percentile_by_rank", "events", lambda e: A.percentile_by_rank(e, ["event_type"], "value", 95, "p95"), f"SELECT event_type, {rank_sql(95)} AS p95 FROM events GROUP BY 1")
 simple("agg_stddev_variance", "events", lambda e: e.groupBy("user_id").agg(r(A.stddev(F.col("value"))).alias("sd"), r(A.variance(F.col("value")), 3).alias("var")), "SELECT user_id, round(coalesce(stddev_samp(value), 0), 4) AS sd, round(coalesce(var_samp(value), 0), 3) AS var FROM events GROUP BY 1")
 simple("agg_corr_covar", "lineitem", lambda x: x.groupBy("l_returnflag").agg(r(F.corr("l_quantity", "l_extendedprice"), 6).alias("corr"), r(F.covar_samp("l_quantity", "l_discount"), 6).alias("covar")), "SELECT l_returnflag, round(corr(l_quantity, l_extendedprice), 6) AS corr, round(covar_samp(l_quantity, l_discount), 6) AS covar FROM lineitem GROUP BY 1")
@@ -121,9 +121,9 @@ simple("column_stats", "events", lambda e: tables.column_stats(e, ["user_id", "e
 # Buckets
 for _w, _i in (("1m", "1 minute"), ("5m", "5 minutes"), ("1h", "1 hour"), ("1d", "1 day")):
     simple(f"bucket_mean_{_w}", "events", lambda e, w=_w: S.bucketed(e, "ts", w, [], mean=r(F.avg("value")), n=F.count("*")), f"SELECT time_bucket(INTERVAL '{_i}', ts, TIMESTAMP '1970-01-01') AS bucket, round(avg(value), 4) AS mean, count(*) AS n FROM events GROUP BY 1")
-simple("bucket_multi_agg_by_tag", "events", lambda e: S.bucketed(e, "ts", "1d", ["event_type"], low=F.min("value"), high=F.max("value"), first=A.first(F.col("value"), F.col("ts")), last=A.last(F.col("value"), F.col("ts")), p95=A.percentile(F.col("value"), 95)), f"SELECT time_bucket(INTERVAL '1 day', ts, TIMESTAMP '1970-01-01') AS bucket, event_type, min(value) AS low, max(value) AS high, min_by(value, ts) AS first, max_by(value, ts) AS last, {rank_sql(95)} AS p95 FROM events GROUP BY 1, 2")
+simple("bucket_multi_agg_by_tag", "events", lambda e: S.bucketed(e, "ts", "1d", ["event_type"], {"p95": ("value", 95)}, low=F.min("value"), high=F.max("value"), first=A.first(F.col("value"), F.col("ts")), last=A.last(F.col("value"), F.col("ts"))), f"SELECT time_bucket(INTERVAL '1 day', ts, TIMESTAMP '1970-01-01') AS bucket, event_type, min(value) AS low, max(value) AS high, min_by(value, ts) AS first, max_by(value, ts) AS last, {rank_sql(95)} AS p95 FROM events GROUP BY 1, 2")
 simple("bucket_rate_delta", "events", lambda e: S.bucketed(e, "ts", "1h", [], delta=r(A.delta(F.col("value"), F.col("ts"))), rate=r(A.rate(F.col("value"), F.col("ts")), 6)), "SELECT time_bucket(INTERVAL '1 hour', ts, TIMESTAMP '1970-01-01') AS bucket, round(max_by(value, ts) - min_by(value, ts), 4) AS delta, round(CASE WHEN max(ts) > min(ts) THEN (max_by(value, ts) - min_by(value, ts)) / ((epoch_us(max(ts)) - epoch_us(min(ts))) / 1e6) ELSE 0 END, 6) AS rate FROM events GROUP BY 1")
-simple("bucket_fill_spine", "events", lambda e: S.spine(S.bucketed(e.where("user_id = 7"), "ts", "6h", [], top=F.max("value")), "bucket", "6h"), "WITH b AS (SELECT time_bucket(INTERVAL '6 hours', ts, TIMESTAMP '1970-01-01') AS bucket, max(value) AS top FROM events WHERE user_id = 7 GROUP BY 1), s AS (SELECT unnest(generate_series((SELECT min(bucket) FROM b), (SELECT max(bucket) FROM b), INTERVAL '6 hours')) AS bucket) SELECT s.bucket, top FROM s LEFT JOIN b USING (bucket)")
+simple("bucket_fill_spine", "events", lambda e: S.spine(S.bucketed(e, "ts", "6h", [], top=F.max("value")), "bucket", "6h"), "WITH b AS (SELECT time_bucket(INTERVAL '6 hours', ts, TIMESTAMP '1970-01-01') AS bucket, max(value) AS top FROM events GROUP BY 1), s AS (SELECT unnest(generate_series((SELECT min(bucket) FROM b), (SELECT max(bucket) FROM b), INTERVAL '6 hours')) AS bucket) SELECT s.bucket, top FROM s LEFT JOIN b USING (bucket)")
 simple("bucket_fill_spine_by_user", "events", lambda e: S.spine(S.bucketed(e, "ts", "6h", BY_USER, top=F.max("value")), "bucket", "6h", ("user_id",)), "WITH b AS (SELECT user_id, time_bucket(INTERVAL '6 hours', ts, TIMESTAMP '1970-01-01') AS bucket, max(value) AS top FROM events GROUP BY 1, 2), s AS (SELECT user_id, unnest(generate_series(min(bucket), max(bucket), INTERVAL '6 hours')) AS bucket FROM b GROUP BY 1) SELECT s.bucket, s.user_id, top FROM s LEFT JOIN b ON s.user_id IS NOT DISTINCT FROM b.user_id AND s.bucket = b.bucket")
 simple("sliding_window", "events", lambda e: e.groupBy(F.window("ts", "2 hours", "1 hour")).agg(F.count("*").alias("n"), F.max("value").alias("top")).select(F.col("window.start").alias("bucket"), "n", "top"), "SELECT bucket, count(*) AS n, max(value) AS top FROM (SELECT value, unnest([h, h - INTERVAL 1 HOUR]) AS bucket FROM (SELECT value, time_bucket(INTERVAL '1 hour', ts, TIMESTAMP '1970-01-01') AS h FROM events)) GROUP BY 1")
 simple("session_window", "events", lambda e: e.groupBy(F.session_window("ts", "2 hours"), "user_id").agg(F.count("*").alias("n")).select("user_id", F.col("session_window.start").alias("start"), "n"), "SELECT user_id, min(ts) AS start, count(*) AS n FROM (SELECT *, sum(new) OVER (PARTITION BY user_id ORDER BY ts) AS s FROM (SELECT *, CASE WHEN ts < lag(ts) OVER (PARTITION BY user_id ORDER BY ts) + INTERVAL 2 HOUR THEN 0 ELSE 1 END AS new FROM events)) GROUP BY user_id, s")
@@ -161,11 +161,17 @@ simple("series_anomaly_score", "events", per_user(lambda w: r(S.anomaly_score(F.
 simple("series_ema", "events", lambda e: S.ema(e.select("event_id", "user_id", "ts", "value"), BY_USER, ["ts", "event_id"], "value", 0.3).select("event_id", r("ema").alias("ema")), "SELECT event_id, round(ema, 4) AS ema FROM (SELECT unnest(ids) AS event_id, unnest(list_transform(range(1, len(v) + 1), lambda n: list_reduce(v[1:n], lambda l, x: 0.3 * x + 0.7 * l))) AS ema FROM (SELECT list(event_id ORDER BY ts, event_id) AS ids, list(value ORDER BY ts, event_id) AS v FROM events GROUP BY user_id))")
 
 # Anomalies
+SMOOTHING_SQL = f"""WITH s AS (SELECT user_id, list(event_id ORDER BY ts, event_id) AS ids, list(value ORDER BY ts, event_id) AS v FROM events GROUP BY 1),
+e AS (SELECT user_id, unnest(ids) AS event_id, unnest(v) AS value, unnest(list_transform(range(1, len(v) + 1), lambda n: CASE WHEN n > 1 THEN list_reduce(v[1:n - 1], lambda l, x: 0.3 * x + 0.7 * l) END)) AS level FROM s),
+x AS (SELECT *, abs(value - coalesce(level, value)) AS score FROM e),
+d AS (SELECT user_id, coalesce(stddev_samp(score), 0) AS sd FROM x GROUP BY 1)
+SELECT event_id, round(score, 3) AS score, score > 3 * sd AND sd > 0 AS is_anomaly FROM x JOIN d USING (user_id)"""
 simple("anomaly_zscore", "events", lambda e: anomaly.zscore(e, BY_USER, "value", 2.5).select("event_id", r("score").alias("score"), "is_anomaly"), "SELECT event_id, round(abs(value - m) / s, 4) AS score, abs(value - m) / s > 2.5 AS is_anomaly FROM events JOIN (SELECT user_id, avg(value) AS m, CASE WHEN coalesce(stddev_samp(value), 0) < 1e-10 THEN 1 ELSE stddev_samp(value) END AS s FROM events GROUP BY 1) USING (user_id)")
 IQR_STATS = f"(SELECT user_id, {rank_sql(25)} AS q1, {rank_sql(75)} AS q3 FROM events GROUP BY 1)"
 simple("anomaly_iqr", "events", lambda e: anomaly.iqr(e, BY_USER, "value").select("event_id", r("score").alias("score"), "is_anomaly"), f"SELECT event_id, round(x, 4) AS score, x > 0 AS is_anomaly FROM (SELECT event_id, greatest(q1 - 1.5 * (q3 - q1) - value, value - (q3 + 1.5 * (q3 - q1)), 0) AS x FROM events JOIN {IQR_STATS} USING (user_id))")
 simple("anomaly_ensemble", "events", lambda e: anomaly.ensemble(e, BY_USER, "value").select("event_id", r("score").alias("score"), "is_anomaly"), f"SELECT event_id, round(x, 4) AS score, x > 2.25 AS is_anomaly FROM (SELECT event_id, (abs(value - m) / s + greatest(q1 - 1.5 * (q3 - q1) - value, value - (q3 + 1.5 * (q3 - q1)), 0)) / 2 AS x FROM events JOIN {IQR_STATS} USING (user_id) JOIN (SELECT user_id, avg(value) AS m, CASE WHEN coalesce(stddev_samp(value), 0) < 1e-10 THEN 1 ELSE stddev_samp(value) END AS s FROM events GROUP BY 1) USING (user_id))")
-query("anomaly_smoothing")(lambda spark, d: anomaly.smoothing_residuals(events(spark, d).select("event_id", "user_id", "ts", "value"), BY_USER, ["ts", "event_id"], "value").select("event_id", r("score").alias("score"), "is_anomaly"))
+query("anomaly_smoothing", SMOOTHING_SQL)(lambda spark, d: anomaly.smoothing_residuals(events(spark, d).select("event_id", "user_id", "ts", "value"), BY_USER, ["ts", "event_id"], "value").select("event_id", r("score", 3).alias("score"), "is_anomaly"))
+simple("anomaly_detect_all", "events", lambda e: anomaly.detect(e, BY_USER, "ts", "value").select("user_id", "ts", "value", r("score").alias("score"), "is_anomaly", "threshold", "model"), f"WITH s AS (SELECT user_id, ts, value, abs(value - m) / s AS z, greatest(q1 - 1.5 * (q3 - q1) - value, value - (q3 + 1.5 * (q3 - q1)), 0) AS x FROM events JOIN {IQR_STATS} USING (user_id) JOIN (SELECT user_id, avg(value) AS m, CASE WHEN coalesce(stddev_samp(value), 0) < 1e-10 THEN 1 ELSE stddev_samp(value) END AS s FROM events GROUP BY 1) USING (user_id)) SELECT user_id, ts, value, round(z, 4) AS score, z > 3 AS is_anomaly, 3.0::DOUBLE AS threshold, 'zscore' AS model FROM s UNION ALL SELECT user_id, ts, value, round(x, 4), x > 0, 1.5::DOUBLE, 'iqr' FROM s")
 query("anomaly_isolation_forest")(lambda spark, d: anomaly.isolation_forest(events(spark, d).select("event_id", "value"), "value").select("event_id", r("score").alias("score"), "is_anomaly"))
 
 # Forecasts
@@ -184,18 +190,36 @@ simple("forecast_ses", "events", lambda e: rounded(forecast.ses(e, BY_USER, "ts"
 simple("forecast_naive", "events", lambda e: rounded(forecast.naive(e, BY_USER, "ts", "value")), bounds("v[-1]", "coalesce(list_sum(list_transform(range(2, len(v) + 1), lambda i: abs(v[i] - v[i - 1]))), 0) / len(v)"))
 simple("forecast_drift", "events", lambda e: rounded(forecast.drift(e, BY_USER, "ts", "value"), 9), bounds("v[-1] + step * (CASE WHEN len(v) > 1 THEN (v[-1] - v[1]) / (len(v) - 1) ELSE 0 END)", "0.0", n=9))
 simple("forecast_moving_average", "events", lambda e: rounded(forecast.moving_average(e, BY_USER, "ts", "value")), bounds("(v[-3] * 1 + v[-2] * 2 + v[-1] * 3) / 6.0", "0.1", "0.05", src=f"(SELECT * FROM {LISTS} WHERE len(v) >= 3)"))
-query("forecast_holt")(lambda spark, d: rounded(forecast.holt(events(spark, d), BY_USER, "ts", "value")))
-query("forecast_holt_winters")(lambda spark, d: rounded(forecast.holt_winters(events(spark, d).select("user_id", "ts", "value"), BY_USER, "ts", "value")))
+HOLT_SQL = """WITH RECURSIVE v AS (SELECT user_id, list(value ORDER BY ts) AS v FROM events GROUP BY 1 HAVING count(*) >= 3),
+f(user_id, i, l, b) AS (SELECT user_id, 1, v[1], (v[3] - v[1]) / 2 FROM v
+  UNION ALL SELECT user_id, i + 1, nl, 0.3 * (nl - l) + 0.7 * b FROM (SELECT f.user_id, i, l, b, 0.5 * v[i + 1] + 0.5 * (l + b) AS nl FROM f JOIN v USING (user_id) WHERE i < len(v))),
+e AS (SELECT user_id, arg_max(l, i) AS l, arg_max(b, i) AS b FROM f GROUP BY 1)
+SELECT user_id, step, round(l + step * b, 4) AS prediction, round(l + step * b - 0.196 * sqrt(1 + 0.1 * (step - 1)), 4) AS lower, round(l + step * b + 0.196 * sqrt(1 + 0.1 * (step - 1)), 4) AS upper FROM e, (SELECT unnest(range(1, 4))::INT AS step)"""
+HOLT_WINTERS_SQL = """WITH RECURSIVE v AS (SELECT user_id, list(value ORDER BY ts) AS v FROM events GROUP BY 1 HAVING count(*) >= 8),
+f(user_id, i, l, b, s) AS (SELECT user_id, 1, list_avg(v[1:4]), (v[5] - v[1]) / 4, list_transform([1, 2, 3, 4], lambda k: list_sum(list_transform(range(k, len(v) + 1, 4), lambda j: v[j])) / (len(v) // 4) - list_avg(v)) FROM v
+  UNION ALL SELECT user_id, i + 1, nl, 0.1 * (nl - l) + 0.9 * b, list_transform([1, 2, 3, 4], lambda k: CASE WHEN k = i % 4 + 1 THEN 0.2 * (x - nl) + 0.8 * s[k] ELSE s[k] END)
+  FROM (SELECT f.user_id, i, l, b, s, v[i + 1] AS x, 0.3 * (v[i + 1] - s[i % 4 + 1]) + 0.7 * (l + b) AS nl FROM f JOIN v USING (user_id) WHERE i < len(v))),
+e AS (SELECT user_id, arg_max(l, i) AS l, arg_max(b, i) AS b, arg_max(s, i) AS s FROM f GROUP BY 1)
+SELECT user_id, step, round(p, 4) AS prediction, round(p - 0.196 * sqrt(1 + 0.1 * (step - 1)), 4) AS lower, round(p + 0.196 * sqrt(1 + 0.1 * (step - 1)), 4) AS upper
+FROM (SELECT user_id, step, l + step * b + s[(3 + step) % 4 + 1] AS p FROM e, (SELECT unnest(range(1, 5))::INT AS step))"""
+query("forecast_holt", HOLT_SQL)(lambda spark, d: rounded(forecast.holt(events(spark, d), BY_USER, "ts", "value")))
+simple("forecast_long_form", "events", lambda e: forecast.forecast(e, BY_USER, "ts", "value", "naive", 2, 0.9).select("user_id", "step", r("prediction").alias("prediction"), r("lower").alias("lower"), r("upper").alias("upper"), "confidence", "model"), f"SELECT user_id, step, round(p, 4) AS prediction, round(p - 1.645 * se * sqrt(1 + 0.1 * (step - 1)), 4) AS lower, round(p + 1.645 * se * sqrt(1 + 0.1 * (step - 1)), 4) AS upper, 0.9::DOUBLE AS confidence, 'naive' AS model FROM (SELECT user_id, step, v[-1] AS p, coalesce(list_sum(list_transform(range(2, len(v) + 1), lambda i: abs(v[i] - v[i - 1]))), 0) / len(v) AS se FROM {LISTS}, (SELECT unnest(range(1, 3))::INT AS step))")
+query("forecast_holt_winters", HOLT_WINTERS_SQL)(lambda spark, d: rounded(forecast.holt_winters(events(spark, d).select("user_id", "ts", "value"), BY_USER, "ts", "value")))
 
 # Features
 simple("feat_statistical", "events", lambda e: features.statistical(e, BY_USER, "value").select("user_id", *[r(c, 3).alias(c) for c in ("mean", "median", "std", "min", "max", "range", "q1", "q3", "iqr", "skewness", "kurtosis", "entropy", "cv")], r("var", 2).alias("var"), r("energy", 2).alias("energy")), f"""WITH s AS (SELECT user_id, avg(value) AS m, stddev_samp(value) AS sd, count(*) AS n, sum(abs(value)) AS t, {rank_sql(50)} AS median, {rank_sql(25)} AS q1, {rank_sql(75)} AS q3 FROM events GROUP BY 1)
 SELECT user_id, round(any_value(m), 3) AS mean, round(any_value(median), 3) AS median, round(any_value(sd), 3) AS std, round(min(value), 3) AS min, round(max(value), 3) AS max, round(max(value) - min(value), 3) AS range, round(any_value(q1), 3) AS q1, round(any_value(q3), 3) AS q3, round(any_value(q3 - q1), 3) AS iqr,
 round(avg(pow(value - m, 3)) / pow(any_value(sd), 3), 3) AS skewness, round(avg(pow(value - m, 4)) / pow(any_value(sd), 4) - 3, 3) AS kurtosis, round(-sum(CASE WHEN abs(value) > 0 THEN abs(value) / t * log2(abs(value) / t) ELSE 0 END), 3) AS entropy, round(any_value(sd / abs(m)), 3) AS cv, round(var_samp(value), 2) AS var, round(sum(value * value), 2) AS energy FROM events JOIN s USING (user_id) GROUP BY 1""")
-simple("feat_temporal", "events", lambda e: features.temporal(e, BY_USER, ["ts", "event_id"], "value").select("user_id", "zero_crossings", "mean_crossings", "peaks", "troughs", "change_points", r("autocorrelation").alias("autocorrelation"), r("stationarity").alias("stationarity")), f"""WITH x AS (SELECT user_id, value AS v, lag(value) OVER {WIN} AS p, lag(value, 2) OVER {WIN} AS pp, lead(value) OVER {WIN} AS nx, avg(value) OVER (PARTITION BY user_id) AS m, stddev_pop(value) OVER (PARTITION BY user_id) AS sd, row_number() OVER {WIN} AS i, count(*) OVER (PARTITION BY user_id) AS n FROM events)
-SELECT user_id, count(*) FILTER (v * p < 0) AS zero_crossings, count(*) FILTER ((v - m) * (p - m) < 0) AS mean_crossings, count(*) FILTER (v > p AND v > nx) AS peaks, count(*) FILTER (v < p AND v < nx) AS troughs, count(*) FILTER ((v - p) * (p - pp) < 0 AND abs(v - p) > 2 * sd) AS change_points,
+simple("feat_temporal", "events", lambda e: features.temporal(e, BY_USER, ["ts", "event_id"], "value").select("user_id", "zero_crossings", "mean_crossings", "peaks", "troughs", "change_points", r("autocorrelation").alias("autocorrelation"), r("stationarity").alias("stationarity")), f"""WITH x AS (SELECT user_id, value AS v, lag(value) OVER {WIN} AS p, lag(value, 2) OVER {WIN} AS pp, lead(value) OVER {WIN} AS nx, avg(value) OVER (PARTITION BY user_id) AS m, var_pop(value) OVER (PARTITION BY user_id) AS vp, row_number() OVER {WIN} AS i, count(*) OVER (PARTITION BY user_id) AS n FROM events)
+SELECT user_id, count(*) FILTER (v * p < 0) AS zero_crossings, count(*) FILTER ((v - m) * (p - m) < 0) AS mean_crossings, count(*) FILTER (v > p AND v > nx) AS peaks, count(*) FILTER (v < p AND v < nx) AS troughs, count(*) FILTER ((v - p) * (p - pp) < 0 AND abs(v - p) > 2.0 * (sqrt(vp * n) / n)) AS change_points,
 round(sum((v - m) * (p - m)) / sum((v - m) * (v - m)), 4) AS autocorrelation, round(least(var_pop(v) FILTER (i <= floor(n / 2)), var_pop(v) FILTER (i > floor(n / 2))) / greatest(var_pop(v) FILTER (i <= floor(n / 2)), var_pop(v) FILTER (i > floor(n / 2))), 4) AS stationarity FROM x GROUP BY 1""")
 simple("feat_trend", "events", lambda e: features.trend(e, BY_USER, ["ts", "event_id"], "value").select("user_id", r("slope").alias("slope"), r("intercept").alias("intercept"), r("residual_var", 2).alias("residual_var"), "direction"), f"SELECT user_id, round(s, 4) AS slope, round(c, 4) AS intercept, round(ss / n, 2) AS residual_var, CASE WHEN s > 0.01 THEN 1 WHEN s < -0.01 THEN -1 ELSE 0 END AS direction FROM (SELECT user_id, regr_slope(value, i) AS s, regr_intercept(value, i) AS c, regr_syy(value, i) - pow(regr_sxy(value, i), 2) / regr_sxx(value, i) AS ss, count(*) AS n FROM (SELECT user_id, value, (row_number() OVER {WIN} - 1)::DOUBLE AS i FROM events) GROUP BY 1)")
-query("feat_spectral")(lambda spark, d: features.spectral(events(spark, d).select("user_id", "ts", "value"), BY_USER, ["ts"], "value").select("user_id", *[r(c).alias(c) for c in ("dominant", "centroid", "rolloff", "entropy")], r("energy", 1).alias("energy")))
+SPECTRAL_SQL = """WITH s AS (SELECT user_id, value, row_number() OVER (PARTITION BY user_id ORDER BY ts) - 1 AS t, count(*) OVER (PARTITION BY user_id) AS n FROM events),
+m AS (SELECT user_id, k, any_value(n) AS n, sqrt(pow(sum(value * cos(2 * pi() * ((k * t) % n) / n)), 2) + pow(sum(value * sin(2 * pi() * ((k * t) % n) / n)), 2)) AS mag FROM (SELECT *, unnest(range(0, n // 2)) AS k FROM s) GROUP BY 1, 2),
+c AS (SELECT *, k / n AS f, mag * mag AS e, sum(mag * mag) OVER (PARTITION BY user_id ORDER BY k) AS upto, sum(mag * mag) OVER (PARTITION BY user_id) AS total, sum(mag) OVER (PARTITION BY user_id) AS mags FROM m)
+SELECT user_id, round(arg_max(f, mag), 4) AS dominant, round(sum(f * e) / any_value(total), 4) AS centroid, round(min(f) FILTER (upto >= 0.85 * total), 4) AS rolloff, round(-sum(CASE WHEN mag > 0 THEN mag / mags * log2(mag / mags) ELSE 0 END), 4) AS entropy, round(any_value(total), 1) AS energy FROM c GROUP BY 1"""
+query("feat_vector")(lambda spark, d: features.vector(events(spark, d).select("user_id", "ts", "event_id", "value"), BY_USER, ["ts", "event_id"], "value").select("user_id", F.transform("features", lambda x: F.round(x, 3)).alias("features")))
+query("feat_spectral", SPECTRAL_SQL)(lambda spark, d: features.spectral(events(spark, d).select("user_id", "ts", "value"), BY_USER, ["ts"], "value").select("user_id", *[r(c).alias(c) for c in ("dominant", "centroid", "rolloff", "entropy")], r("energy", 1).alias("energy")))
 
 # Storage
 simple("retention_expired", "events", lambda e: tables.expired(e, "ts", NOW, "14d").select("event_id", "ts"), f"SELECT event_id, ts FROM events WHERE ts < TIMESTAMP '{NOW}' - INTERVAL 14 DAY")
@@ -218,11 +242,41 @@ def partition_prune(spark, d):
     return tables.read_range(spark, path, "ts", datetime(2024, 1, 5, 6, 30), datetime(2024, 1, 8, 12), "day").select("event_id", "ts", "value")
 
 
+@query("table_life_cycle", "SELECT count(*) AS rows, count(DISTINCT date_trunc('day', ts)) AS partitions FROM events WHERE ts >= TIMESTAMP '2024-01-11' AND event_type <> 'click'")
+def table_life_cycle(spark, d):
+    from datetime import datetime
+
+    path, to = scratch(spark, "table"), scratch(spark, "table-deleted")
+    tables.create(spark, path, "event_id long, ts timestamp_ntz, user_id long, event_type string, value double", "ts", ("user_id", "event_type"), "day", "20d")
+    tables.insert(spark, path, events(spark, d))
+    tables.drop_expired(spark, path, datetime(2024, 1, 31), tables.describe(spark, path)["keep"], "day")
+    tables.delete(spark, path, to, "event_type = 'click'")
+    return tables.table_stats(spark, to).select("rows", "partitions")
+
+
+@query("downsample_table", "SELECT time_bucket(INTERVAL '6 hours', ts, TIMESTAMP '1970-01-01') AS ts, event_type, list_sort(list(value))[1 + cast(floor(0.95 * (count(value) - 1) + 0.5) AS INT)] AS value FROM events GROUP BY 1, 2")
+def downsample_table(spark, d):
+    path = scratch(spark, "table")
+    tables.write(events(spark, d), path, "ts", "day")
+    to = tables.downsample_table(spark, path, "ts", ["event_type"], "value", tables.DownsampleRule("6h", "6h", "p95"))
+    return tables.read(spark, to).select("ts", "event_type", "value")
+
+
+@query("csv_round_trip", "SELECT event_id, ts, user_id, event_type, value FROM events")
+def csv_round_trip(spark, d):
+    path, rows = scratch(spark, "csv"), events(spark, d).select("event_id", "ts", "user_id", "event_type", "value")
+    tables.export_csv(rows, path)
+    return tables.import_csv(spark, path, "event_id long, ts timestamp_ntz, user_id long, event_type string, value double")
+
+
 # Messages and routing
 simple("route_time", "events", lambda e: e.select("event_id", messages.route_time(F.col("ts"), 7).alias("part")), "SELECT event_id, (hour(ts) % 7)::INT AS part FROM events")
 simple("route_hash", "events", lambda e: e.select("event_id", messages.route_hash(F.concat(F.col("event_type"), F.lit("-"), F.col("user_id").cast("string")), 5).alias("part")), "SELECT event_id, (list_reduce(list_prepend(5381::HUGEINT, list_transform(string_split(event_type || '-' || user_id::VARCHAR, ''), lambda c: ascii(c)::HUGEINT)), lambda h, b: (h * 33 + b) % 18446744073709551616::HUGEINT) % 5)::INT AS part FROM events")
 simple("codec_json", "events", lambda e: e.select("event_id", messages.from_json(messages.to_json("user_id", "event_type", "value"), "user_id long, event_type string, value double").alias("m")).select("event_id", "m.user_id", "m.event_type", "m.value"), "SELECT event_id, user_id, event_type, value FROM events")
 simple("codec_csv", "events", lambda e: e.select("event_id", messages.from_csv(messages.to_csv("user_id", "event_type", "value"), "user_id long, event_type string, value double").alias("m")).select("event_id", "m.user_id", "m.event_type", "m.value"), "SELECT event_id, user_id, event_type, value FROM events")
+simple("encode_json", "events", lambda e: e.select("event_id", messages.to_json("user_id", "event_type").alias("body")), "SELECT event_id, '{\"user_id\":' || user_id || ',\"event_type\":\"' || event_type || '\"}' AS body FROM events")
+simple("encode_csv", "events", lambda e: e.select("event_id", messages.to_csv("user_id", "event_type", sep=";").alias("body")), "SELECT event_id, user_id || ';' || event_type AS body FROM events")
+simple("route_range", "events", lambda e: e.select("event_id", messages.route("range", 3, F.when(F.col("event_id") % 7 != 0, F.col("event_type"))).alias("part")), "SELECT event_id, CASE WHEN event_id % 7 = 0 THEN 0 ELSE (list_reduce(list_prepend(5381::HUGEINT, list_transform(string_split(event_type, ''), lambda c: ascii(c)::HUGEINT)), lambda h, b: (h * 33 + b) % 18446744073709551616::HUGEINT) % 3)::INT END AS part FROM events")
 simple("props_json", "events", lambda e: e.select("event_id", F.get_json_object("props", "$.k").cast("long").alias("k")), "SELECT event_id, json_extract_string(props, '$.k')::BIGINT AS k FROM events")
 
 # SQL: durations are intervals and buckets are window(); the text runs on Spark's own parser.
@@ -236,9 +290,11 @@ for _name, (_text, _sql) in SQL_TEXTS.items():
 
 
 # Streams: what is in the files is worked off once; windows still open at the end are not given out.
-def once(spark, d, build) -> DataFrame:
+def once(spark, d, build, again: str = "") -> DataFrame:
     src = scratch(spark, "stream-in")
     events(spark, d).write.parquet(src)
+    if again:
+        events(spark, d).where(again).write.mode("append").parquet(src)
     return windows.run_once(build(windows.stream(spark, src)), scratch(spark, "stream-out"), scratch(spark, "stream-state"))
 
 
@@ -256,7 +312,8 @@ def stream_session(spark, d):
 
 @query("stream_dedup", "SELECT event_id, user_id FROM events")
 def stream_dedup(spark, d):
-    return once(spark, d, lambda s: windows.deduplicated(s, "ts", ["event_id"]).select("event_id", "user_id"))
+    # Every third event comes twice, in another file.
+    return once(spark, d, lambda s: windows.deduplicated(s, "ts", ["event_id"]).select("event_id", "user_id"), again="event_id % 3 = 0")
 
 
 @query("stream_stateful_ema", "SELECT user_id, count(*) AS n, round(list_reduce(list(value ORDER BY ts), lambda l, x: 0.3 * x + 0.7 * l), 4) AS ema FROM events GROUP BY 1")

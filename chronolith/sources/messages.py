@@ -36,3 +36,36 @@ def route_hash(key: Column, n: int) -> Column:
 
 def route_time(ts: Column, n: int) -> Column:
     return F.hour(ts) % n
+
+
+# A message as Kafka's source gives it and its sink takes it (fixed names).
+MESSAGE = "key binary, value binary, headers array<struct<key:string,value:binary>>, topic string, partition int, offset bigint, timestamp timestamp"
+
+
+def size_bytes() -> Column:
+    """Bytes of a message's key and value."""
+    return F.coalesce(F.octet_length("key"), F.lit(0)) + F.coalesce(F.octet_length("value"), F.lit(0))
+
+
+CODECS = {"json": (to_json, from_json), "csv": (to_csv, from_csv)}
+
+
+def codec(name: str):
+    """(encode, decode) by name."""
+    if name not in CODECS:
+        raise ValueError(f"no codec {name!r}")
+    return CODECS[name]
+
+
+def route(strategy: str, n: int, key: Column | None = None, ts: Column | None = None, seed: int = 42) -> Column:
+    """A partition 0..n-1 by strategy: hash and range by the key (a null key goes to 0), time by the hour, round_robin by
+    position in the task's rows, random by a seeded draw."""
+    if strategy in ("hash", "range"):
+        return F.when(key.isNull(), 0).otherwise(route_hash(key, n))
+    if strategy == "time":
+        return route_time(ts, n)
+    if strategy == "round_robin":
+        return F.pmod(F.monotonically_increasing_id(), F.lit(n)).cast("int")
+    if strategy == "random":
+        return F.floor(F.rand(seed) * n).cast("int")
+    raise ValueError(f"no strategy {strategy!r}")

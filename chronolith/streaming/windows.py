@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import json
+
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -51,3 +53,16 @@ def run_once(out: DataFrame, path: str, checkpoint: str) -> DataFrame:
     q = out.writeStream.format("parquet").option("path", path).option("checkpointLocation", checkpoint).outputMode("append").trigger(availableNow=True).start()
     q.awaitTermination()
     return out.sparkSession.read.schema(out.schema).parquet(path)
+
+
+def run_batches(out: DataFrame, process, checkpoint: str) -> list[dict]:
+    """Work off what is there, each batch by process(batch, number), and return the query's progress."""
+    q = out.writeStream.foreachBatch(process).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    q.awaitTermination()
+    return [json.loads(p.json) if hasattr(p, "json") else p for p in q.recentProgress]
+
+
+def progress(spark: SparkSession, reports: list[dict]) -> DataFrame:
+    """A stream's progress as rows: batch, input rows, rows a second, milliseconds."""
+    rows = [(p["batchId"], p["numInputRows"], float(p.get("processedRowsPerSecond") or 0.0), int(p["batchDuration"])) for p in reports]
+    return spark.createDataFrame(rows, "batch long, input_rows long, rows_per_second double, millis long")
