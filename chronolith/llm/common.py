@@ -36,18 +36,18 @@ def partitions_for(spark: SparkSession, rows: int, rows_each: int) -> int:
     return max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-rows // rows_each))
 
 
-def join_by_key(rows: DataFrame, stats: DataFrame, keys: list[str], n_rows: int, most: int = 10_000) -> DataFrame:
+def join_by_key(rows: DataFrame, stats: DataFrame, keys: list[str], n_rows: int, most: int = 2_000) -> DataFrame:
     """rows.join(stats, keys), where stats has at most one row a key and n, how many of the n_rows rows have it.
 
-    Keys with over n_rows / most rows are broadcast, of which there are fewer than most, so that no hot key is one task's.
+    Keys with over n_rows / most rows, of which there are fewer than most, are broadcast, so that no hot key is one task's.
+    They are told by their hash; what shares one is broadcast with them.
     """
-    stats = materialise(stats, "keys")
-    limit = max(128, n_rows // most)
-    hot = F.broadcast(stats.where(F.col("n") > limit))
-    if hot.isEmpty():
+    stats, mark = materialise(stats, "keys"), F.xxhash64(*keys)
+    hot = [r[0] for r in stats.where(F.col("n") > max(128, n_rows // most)).select(mark).collect()]
+    if not hot:
         return rows.join(stats, keys)
-    cold = rows.join(hot.select(keys), keys, "left_anti").join(stats.where(F.col("n") <= limit), keys)
-    return rows.join(hot, keys).unionByName(cold)
+    some = rows.where(mark.isin(hot)).join(F.broadcast(stats.where(mark.isin(hot))), keys)
+    return some.unionByName(rows.where(~mark.isin(hot)).join(stats.where(~mark.isin(hot)), keys))
 
 
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:

@@ -35,7 +35,7 @@ def connected_components(links: DataFrame, a: str, b: str) -> DataFrame:
 
     links: two columns a, b of one orderable integer type; self links and repeats are allowed, null ends are ignored.
     Only aggregates by a node's key and equi-joins are used, of which the first combine a hot node's rows and the others
-    broadcast its one value; each
+    split off the few hottest nodes; each
     round is written to the shared folder. Rounds grow with the logarithm of the longest chain.
     """
     hi, lo = F.greatest(a, b), F.least(a, b)

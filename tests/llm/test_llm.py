@@ -880,6 +880,51 @@ def test_rows_without_a_usable_id(spark):
 # All together
 
 
+def test_clashing_columns_and_repeated_rows(spark):
+    """Extra columns change nothing, repeated rows each get a row with equal results, empty tables give empty results."""
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    texts = [t for t in ODD if not t or len(t) < 1000] + ["the cat sat there. the dog too", "el gato come aqui. la casa", 'password = "hunter2secret"'] * 4
+    plain, odd = frame(spark, texts), frame(spark, texts, extra=True)
+    for c in ("held_out", "lang_pred", "score", "predicted", "toxic", "place", "chain", "terms", "start", "length", "sequence_id", "offset", "spans", "n_entropy", "fingerprint", "tag", "e", "h"):
+        odd = odd.withColumn(c, F.lit("x"))
+    labels = spark.createDataFrame([(i, i % 2, 0) for i in range(0, 20)], "doc_id long, toxic int, quality int")
+    runs = {
+        "pack": lambda d: packing.pack(d, path).select("doc_id", "start", "length", "ids_crc32", "doc_tokens"),
+        "identify": langid.identify,
+        "secrets": secret_scan.scan,
+        "toxicity": lambda d: toxicity.score(d, labels.withColumn("text", F.lit("clash")).withColumn("score", F.lit(1))),
+        "simhash": simhash.near_duplicates,
+        "licences": licenses.scan,
+        "lines": line_dedup.report,
+    }
+    for name, run in runs.items():
+        rows = lambda d: sorted(map(tuple, run(d).collect()), key=repr)  # noqa: E731, B023
+        want = rows(plain)
+        assert rows(odd) == want, name
+        assert len(run(plain).select("doc_id").distinct().collect()) == len(texts), name
+        twice = rows(plain.unionByName(plain))
+        if name in ("secrets", "licences", "lines", "simhash", "pack"):
+            assert twice == sorted([*want, *want], key=repr), name
+        else:
+            assert [r[0] for r in twice] == [r[0] for r in sorted([*want, *want], key=repr)], name
+        assert run(plain.where("false")).count() == 0, name
+    nulls = plain.withColumn("doc_id", F.lit(None).cast("long"))
+    for name, run in runs.items():
+        assert run(nulls).where("doc_id is null").count() >= len(texts), name
+
+
+def test_pipeline_stages_keep_columns(spark, sf):
+    import corpus_pipeline as p
+
+    odd = frame(spark, ["the cat sat there. the dog too", None, "", "the house is here and more words", "the house is here and more words"], extra=True)
+    odd = odd.withColumn("tag", F.lit(1)).withColumn("text2", F.col("text"))
+    for _, stage in p.STAGES[:-1]:
+        for df in (odd, odd.where("false")):
+            out = stage(spark, df, sf)
+            assert out.dtypes == df.dtypes and out.count() <= df.count()
+    assert p.STAGES[-1][1](spark, odd.where("false"), sf).count() == 0
+
+
 def test_queries_are_whole(spark, sf):
     for name, query in queries.QUERIES.items():
         table = {"op2": "embeddings", "op3": "pages"}.get(name.split("_")[0], "documents")
