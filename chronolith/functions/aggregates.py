@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 # grouped() looks for a percentile between sketched bounds this far below and above it; groups up to SMALL are looked
 # through as a whole. The sketch's error and one rank stay below MARGIN for any larger group.
-ACCURACY, SMALL, MARGIN = 10_000, 10_000, 5e-4
+ACCURACY, SMALL, MARGIN = 4_000, 10_000, 5e-4
 
 
 def same_keys(left: DataFrame, right: DataFrame, keys: list[str], how: str = "inner") -> DataFrame:
@@ -35,7 +35,8 @@ def grouped(df: DataFrame, keys: list[str], aggs: dict[str, Column], ranks: dict
     for v in columns:
         cuts = [x for n in names if ranks[n][0] == v for x in (max(0.0, q[n] - MARGIN), min(1.0, q[n] + MARGIN))]
         sketches += [F.count(v).alias(f"__n_{v}"), F.min(v).alias(f"__lo_{v}"), F.max(v).alias(f"__hi_{v}"), F.percentile_approx(v, cuts, ACCURACY).alias(f"__cuts_{v}")]
-    base = df.groupBy(*keys).agg(*sketches, F.struct(F.lit(True).alias("__some"), *[c.alias(n) for n, c in aggs.items()]).alias("__aggs"))
+    base = df.groupBy(*keys).agg(*sketches)
+    groups = df.groupBy(*keys).agg(F.struct(F.lit(True).alias("__some"), *[c.alias(n) for n, c in aggs.items()]).alias("__aggs"))
     bounds = []
     for i, n in enumerate(names):
         v, at = ranks[n][0], 2 * [m for m in names if ranks[m][0] == ranks[n][0]].index(n)
@@ -51,8 +52,8 @@ def grouped(df: DataFrame, keys: list[str], aggs: dict[str, Column], ranks: dict
     counts = found.groupBy(*keys, "i", "rank", "v").agg(F.count("*").alias("c"))
     upto = F.sum("c").over(Window.partitionBy(*keys, "i").orderBy(F.asc_nulls_first("v")))
     picks = counts.withColumn("upto", upto).where((F.col("upto") >= F.col("rank")) & (F.col("upto") - F.col("c") < F.col("rank"))).select(*keys, "i", "v")
-    shape = base.schema["__aggs"].dataType
-    rows = picks.withColumn("__aggs", F.lit(None).cast(shape)).unionByName(base.select(*keys, F.lit(None).cast("int").alias("i"), F.lit(None).cast("double").alias("v"), "__aggs"))
+    shape = groups.schema["__aggs"].dataType
+    rows = picks.withColumn("__aggs", F.lit(None).cast(shape)).unionByName(groups.select(*keys, F.lit(None).cast("int").alias("i"), F.lit(None).cast("double").alias("v"), "__aggs"))
     out = rows.groupBy(*keys).agg(F.any_value("__aggs", True).alias("__aggs"), *[F.max(F.when(F.col("i") == i, F.col("v"))).alias(f"__p{i}") for i in range(len(names))])
     return out.select(*keys, *[F.col("__aggs")[n].alias(n) for n in aggs], *[F.col(f"__p{i}").cast(df.schema[ranks[n][0]].dataType).alias(n) for i, n in enumerate(names)])
 
