@@ -210,10 +210,14 @@ def _occurrences(docs: DataFrame) -> DataFrame:
 
 
 def _texts(docs: DataFrame, wanted: DataFrame) -> DataFrame:
-    """(id, line, size, s0, s1, ...): the normal form of each wanted (id, doc_id, tag, pos), its number of shingles and its sketch."""
-    per_doc = wanted.groupBy("doc_id", "tag").agg(F.collect_list(F.struct("pos", "id")).alias("at"))
-    same = docs.doc_id.eqNullSafe(per_doc.doc_id) & (docs.tag == per_doc.tag)
-    joined = docs.join(per_doc, same).select("text", F.col("at.pos").alias("pos"), F.col("at.id").alias("id"))
+    """(id, line, size, s0, s1, ...): the normal form of each wanted (id, doc_id, tag, pos), its number of shingles and its sketch.
+
+    Repeated rows become one before the join, by the join's own keys, so that texts are shuffled once and each id comes once.
+    """
+    key = [F.col("doc_id").isNotNull().alias("named"), F.coalesce("doc_id", F.lit(0)).cast("long").alias("doc"), F.col("tag")]
+    per_doc = wanted.groupBy(*key).agg(F.collect_list(F.struct("pos", "id")).alias("at"))
+    once = docs.where("text is not null").groupBy(*key).agg(F.min("text").alias("text"))
+    joined = once.join(per_doc, ["named", "doc", "tag"]).select("text", F.col("at.pos").alias("pos"), F.col("at.id").alias("id"))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
@@ -296,7 +300,7 @@ def keepers(docs: DataFrame) -> DataFrame:
     buckets = bands.groupBy("key").agg(F.min("id").alias("pivot"), F.max("id").alias("top"), F.count("*").alias("n")).where("pivot < top")
     members = materialise(join_by_key(bands, buckets, ["key"], BANDS * nodes.count()).select("key", "id", "pivot", "n"), "lines-members")
     wanted = members.select("id").distinct().join(nodes.select("id", F.col("at.doc_id").alias("doc_id"), F.col("at.tag").alias("tag"), F.col("at.pos").alias("pos")), "id")
-    texts = materialise(_texts(docs, wanted).dropDuplicates(["id"]), "lines-texts")
+    texts = materialise(_texts(docs, wanted), "lines-texts")
     # First pass: to the bucket's smallest.
     pairs = members.where("id <> pivot").select(F.col("pivot").alias("a"), F.col("id").alias("b")).distinct()
     x, y = (texts.select(F.col("id").alias(c), F.col("size").alias(f"{c}_size"), *[F.col(w).alias(f"{c}_{w}") for w in WORDS]) for c in "ab")
