@@ -29,33 +29,27 @@ def grouped(df: DataFrame, keys: list[str], aggs: dict[str, Column], ranks: dict
     """
     if not ranks:
         return df.groupBy(*keys).agg(*[c.alias(n) for n, c in aggs.items()])
-    names, q = list(ranks), {n: min(max(p, 0.0), 100.0) / 100 for n, (_, p) in ranks.items()}
     columns = sorted({v for v, _ in ranks.values()})
-    sketches = []
-    for v in columns:
-        cuts = [x for n in names if ranks[n][0] == v for x in (max(0.0, q[n] - MARGIN), min(1.0, q[n] + MARGIN))]
-        sketches += [F.count(v).alias(f"__n_{v}"), F.min(v).alias(f"__lo_{v}"), F.max(v).alias(f"__hi_{v}"), F.percentile_approx(v, cuts, ACCURACY).alias(f"__cuts_{v}")]
-    base = df.groupBy(*keys).agg(*sketches)
-    groups = df.groupBy(*keys).agg(F.struct(F.lit(True).alias("__some"), *[c.alias(n) for n, c in aggs.items()]).alias("__aggs"))
-    bounds = []
-    for i, n in enumerate(names):
-        v, at = ranks[n][0], 2 * [m for m in names if ranks[m][0] == ranks[n][0]].index(n)
-        few = F.col(f"__n_{v}") <= SMALL
-        low = F.when(few, F.col(f"__lo_{v}")).otherwise(F.get(f"__cuts_{v}", F.lit(at)))
-        high = F.when(few, F.col(f"__hi_{v}")).otherwise(F.get(f"__cuts_{v}", F.lit(at + 1)))
-        rank = F.floor(F.lit(q[n]) * (F.col(f"__n_{v}") - 1) + 0.5) + 1
-        bounds.append((v, F.struct(F.lit(i).alias("i"), low.cast("double").alias("low"), high.cast("double").alias("high"), rank.alias("rank"))))
-    found = same_keys(df.select(*keys, *columns), base.select(*keys, F.struct(*[b.alias(f"b{i}") for i, (_, b) in enumerate(bounds)]).alias("__b")), keys)
-    one = lambda v, b: F.struct(b["i"].alias("i"), b["rank"].alias("rank"), (F.col(v) > b["high"]).alias("over"), F.when(F.col(v) >= b["low"], F.col(v)).cast("double").alias("v"), F.col(v).isNull().alias("none"))
-    found = found.select(*keys, F.inline(F.array(*[one(v, F.col("__b")[f"b{i}"]) for i, (v, _) in enumerate(bounds)]))).where("not over and not none")
-    # A null v stands for all values below the bounds; it comes first.
-    counts = found.groupBy(*keys, "i", "rank", "v").agg(F.count("*").alias("c"))
-    upto = F.sum("c").over(Window.partitionBy(*keys, "i").orderBy(F.asc_nulls_first("v")))
-    picks = counts.withColumn("upto", upto).where((F.col("upto") >= F.col("rank")) & (F.col("upto") - F.col("c") < F.col("rank"))).select(*keys, "i", "v")
-    shape = groups.schema["__aggs"].dataType
-    rows = picks.withColumn("__aggs", F.lit(None).cast(shape)).unionByName(groups.select(*keys, F.lit(None).cast("int").alias("i"), F.lit(None).cast("double").alias("v"), "__aggs"))
-    out = rows.groupBy(*keys).agg(F.any_value("__aggs", True).alias("__aggs"), *[F.max(F.when(F.col("i") == i, F.col("v"))).alias(f"__p{i}") for i in range(len(names))])
-    return out.select(*keys, *[F.col("__aggs")[n].alias(n) for n in aggs], *[F.col(f"__p{i}").cast(df.schema[ranks[n][0]].dataType).alias(n) for i, n in enumerate(names)])
+    cuts: list[list[float]] = [[] for _ in columns]
+    looked = []
+    for i, (v, p) in enumerate(ranks.values()):
+        q, j = min(max(p, 0.0), 100.0) / 100, columns.index(v)
+        few, at = f"__n{j} <= {SMALL}", len(cuts[j])
+        cuts[j] += [max(0.0, q - MARGIN), min(1.0, q + MARGIN)]
+        # A null value stands for all values below the bounds.
+        value = f"CASE WHEN {few} OR `{v}` >= get(__cuts{j}, {at}) THEN CAST(`{v}` AS DOUBLE) END"
+        looked.append(f"struct({i} AS __i, floor({q!r}D * (__n{j} - 1) + 0.5D) + 1 AS __rank, {value} AS __v, `{v}` IS NOT NULL AND ({few} OR `{v}` <= get(__cuts{j}, {at + 1})) AS __in)")
+    sketches = [F.expr(x) for j, v in enumerate(columns) for x in (f"count(`{v}`) AS __n{j}", f"percentile_approx(`{v}`, array({', '.join(f'{x!r}D' for x in cuts[j])}), {ACCURACY}) AS __cuts{j}")]
+    base = df.groupBy(*[F.col(k).alias(f"__{k}") for k in keys]).agg(*sketches)
+    quoted = [f"`{k}`" for k in keys]
+    found = df.select(*keys, *[v for v in columns if v not in keys]).join(base, F.expr(" AND ".join(f"`{k}` <=> `__{k}`" for k in keys) or "true"))
+    found = found.selectExpr(*quoted, f"inline(array({', '.join(looked)}))").where("__in")
+    counts = found.groupBy(*keys, "__i", "__rank", "__v").agg(F.expr("count(1) AS __c"))
+    upto = f"sum(__c) OVER (PARTITION BY {', '.join([*quoted, '__i'])} ORDER BY __v ASC NULLS FIRST ROWS UNBOUNDED PRECEDING) AS __upto"
+    picks = counts.selectExpr("*", upto).where("__upto >= __rank AND __upto - __c < __rank").selectExpr(*quoted, "__i", "__v", *[f"NULL AS `{n}`" for n in aggs])
+    groups = df.groupBy(*keys).agg(F.expr("CAST(NULL AS INT) AS __i"), F.expr("CAST(NULL AS DOUBLE) AS __v"), *[c.alias(n) for n, c in aggs.items()])
+    picked = [f"CAST(max(CASE WHEN __i = {i} THEN __v END) AS {df.schema[v].dataType.simpleString()}) AS `{n}`" for i, (n, (v, _)) in enumerate(ranks.items())]
+    return groups.union(picks).groupBy(*keys).agg(*[F.expr(f"any_value(`{n}`, true) AS `{n}`") for n in aggs], *[F.expr(x) for x in picked])
 
 
 def percentile_by_rank(df: DataFrame, keys: list[str], value: str, p: float, name: str) -> DataFrame:
